@@ -13,6 +13,7 @@ from .bpe import bpe_digests
 from .common import read
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
+from .quality import quality_scores
 from .warc import archive_round_trip
 
 
@@ -34,6 +35,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_warc": op6_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_ranking": op9_quality_ranking,
     "op10_bpe": op10_bpe,
 }
 
