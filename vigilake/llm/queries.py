@@ -12,6 +12,7 @@ from .ann import nearest
 from .bpe import bpe_digests
 from .common import read
 from .exact_dedup import exact_dedup
+from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .quality import quality_scores
 from .warc import archive_round_trip
@@ -26,6 +27,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_round_trip(spark, read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -46,6 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cross_polytope_ann": op1_cross_polytope_ann,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc": op6_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_ranking": op9_quality_ranking,
