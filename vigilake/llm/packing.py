@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from .common import Stages, spread, text_of
 SPACE = WHITE[1:-2]
 #: White space and the word after it. Byte-level patterns match nothing across a word's end, so each
 #: unit is encoded as it would be within its text.
-UNIT = regex.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+UNIT = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 class UnitEncoder:
@@ -33,7 +33,7 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
+        self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.cache: dict[str, bytes] = {}
         self.cache_units = cache_units
 
@@ -81,7 +81,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer_path)
         for batch in batches:
-            for keys, texts in in_slices(batch):
+            for keys, texts in in_slices(batch, 12_000_000):
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(tokens.encode_texts(texts)):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
