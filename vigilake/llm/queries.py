@@ -17,6 +17,7 @@ from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .quality import quality_scores
 from .secret_scan import fit_secret_model, labelled_findings, scan_secrets
+from .suffix_dedup import suffix_dedup
 from .warc import archive_round_trip
 
 
@@ -37,6 +38,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_round_trip(spark, read(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
