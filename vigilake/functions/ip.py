@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 V4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
@@ -25,12 +26,11 @@ PUBLIC_WITHIN = """
 
 def v4_number(ip: Column) -> Column:
     """The address as a number, or null if it isn't a dotted IPv4 address."""
-    octets = [F.regexp_extract(ip, V4, k).cast("long") for k in range(1, 5)]
-    number = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+    number = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda n, x: n * 256 + x.try_cast("long"))
     return F.when(ip.rlike(V4), number)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def v6_hex(ip: pd.Series) -> pd.Series:
     """32 hexadecimal digits of an IPv6 address, else null."""
 
@@ -48,27 +48,26 @@ def is_ip(ip: Column) -> Column:
     return F.coalesce(ip.rlike(V4), F.lit(False)) | F.coalesce(F.when(ip.contains(":"), v6_hex(F.when(ip.contains(":"), ip))).isNotNull(), F.lit(False))
 
 
-def is_private(number: Column) -> Column:
-    """Whether an IPv4 number lies in a range without a place; null stays null."""
+def _ranges(names: list[str], version: int) -> list[tuple[int, int]]:
+    nets = [ipaddress.ip_network(c) for c in names]
+    return [(int(n.network_address), int(n.broadcast_address)) for n in nets if n.version == version]
+
 
-    def within(cidr: str) -> Column:
-        net = ipaddress.ip_network(cidr)
-        return number.between(int(net.network_address), int(net.broadcast_address))
+def _within(value: Column, ranges: list[tuple]) -> Column:
+    """One test over a literal array, so that the value's own expression isn't copied for each range."""
+    listed = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in ranges))
+    return F.exists(listed, lambda r: (r["lo"] <= value) & (value <= r["hi"]))
 
-    v4 = lambda names: [within(c) for c in names if ":" not in c]
-    inside, outside = F.lit(False), F.lit(False)
-    for test in v4(PRIVATE):
-        inside = inside | test
-    for test in v4(PUBLIC_WITHIN):
-        outside = outside | test
-    return inside & ~outside
+
+def is_private(number: Column) -> Column:
+    """Whether an IPv4 number lies in a range without a place; null stays null."""
+    return _within(number, _ranges(PRIVATE, 4)) & ~_within(number, _ranges(PUBLIC_WITHIN, 4))
 
 
-def is_private_text(text: str) -> bool:
-    """The same for one address of either version, on the driver or in a UDF."""
-    ip = ipaddress.ip_address(text)
-    hit = lambda names: any(ip in ipaddress.ip_network(c) for c in names if ipaddress.ip_network(c).version == ip.version)
-    return hit(PRIVATE) and not hit(PUBLIC_WITHIN)
+def is_private_v6(digits: Column) -> Column:
+    """The same for an IPv6 address as 32 hexadecimal digits."""
+    text = lambda rows: [(f"{lo:032x}", f"{hi:032x}") for lo, hi in rows]
+    return _within(digits, text(_ranges(PRIVATE, 6))) & ~_within(digits, text(_ranges(PUBLIC_WITHIN, 6)))
 
 
 def network_rows(rows: list[tuple]) -> list[tuple]:
@@ -84,9 +83,9 @@ def network_rows(rows: list[tuple]) -> list[tuple]:
     return found
 
 
-def longest_prefix(addresses: DataFrame, ip: str, networks: DataFrame, values: list[str]) -> DataFrame:
+def longest_prefix(addresses: DataFrame, ip: str, networks: DataFrame, values: list[str], public_only: bool = False) -> DataFrame:
     """``addresses`` with a struct ``match`` of ``values`` and prefix_len of the longest network that
-    holds the address, null where none does.
+    holds the address, null where none does (with ``public_only``, for private addresses too).
 
     ``networks`` (version, network, prefix_len, ...) is a dimension table. Each distinct address is
     masked to each of the prefix lengths in use (at most 33 and 129), so the lookup is an equi join;
@@ -96,6 +95,9 @@ def longest_prefix(addresses: DataFrame, ip: str, networks: DataFrame, values: l
     number = v4_number(F.col(ip))
     keyed = distinct.withColumn("_v4", number).withColumn("_v6", F.when(F.col(ip).contains(":"), v6_hex(F.when(F.col(ip).contains(":"), F.col(ip)))))
     keyed = keyed.withColumn("version", F.when(F.col("_v4").isNotNull(), 4).when(F.col("_v6").isNotNull(), 6))
+    if public_only:
+        hidden = F.coalesce(is_private(F.col("_v4")), F.lit(False)) | F.coalesce(is_private_v6(F.col("_v6")), F.lit(False))
+        keyed = keyed.where(~hidden)
     lengths = networks.select(F.col("version"), "prefix_len").distinct()
     masked = keyed.where("version is not null").join(lengths, "version")
     span = F.pow(F.lit(2.0), 32 - F.col("prefix_len")).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ip import is_private, longest_prefix, network_rows, v4_number, is_private_text
+from ..functions.ip import longest_prefix, network_rows
 
 NETWORK = "version int, network string, prefix_len int"
 
@@ -34,18 +34,10 @@ def ioc_match(events: DataFrame, ip: str, blocklist: DataFrame) -> DataFrame:
     return joined.withColumn("ioc_matched", F.col("match").isNotNull()).withColumn("ioc_feed", F.col("match.feed")).drop("match")
 
 
-@F.udf("boolean")
-def _private_v6(ip: str) -> bool:
-    return is_private_text(ip)
-
-
 def geo_lookup(events: DataFrame, ip: str, geo: DataFrame) -> DataFrame:
     """Adds country_iso, country_name, asn, as_org; addresses in special-purpose ranges have none."""
-    joined = longest_prefix(events, ip, geo, ["country_iso", "country_name", "asn", "as_org"])
-    v6 = F.col(ip).contains(":") & F.col("match").isNotNull()
-    hidden = F.coalesce(is_private(v4_number(F.col(ip))), F.lit(False)) | F.coalesce(F.when(v6, _private_v6(F.when(v6, F.col(ip)))), F.lit(False))
-    place = F.when(~hidden, F.col("match"))
-    return joined.select(*events.columns, *(place[c].alias(c) for c in ("country_iso", "country_name", "asn", "as_org")))
+    joined = longest_prefix(events, ip, geo, ["country_iso", "country_name", "asn", "as_org"], public_only=True)
+    return joined.select(*events.columns, *(F.col(f"match.{c}").alias(c) for c in ("country_iso", "country_name", "asn", "as_org")))
 
 
 def asset_lookup(events: DataFrame, ip: str, assets: DataFrame) -> DataFrame:

@@ -6,28 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EVENT_DDL = """
-    `@timestamp` timestamp, message string, raw string, ingest_seq bigint,
-    event struct<category: string, action: string, outcome: string>,
-    source struct<ip: string, port: int, geo: struct<country_iso_code: string, country_name: string>,
-        `as`: struct<number: bigint, organization: string>, asset: struct<name: string, trusted: boolean>>,
-    user struct<name: string, role: string>,
-    host struct<name: string>,
-    log struct<source: string>,
-    process struct<name: string, pid: int, executable: string, command_line: string,
-        parent: struct<name: string, executable: string, command_line: string>>,
-    destination struct<ip: string, port: int>,
-    network struct<protocol: string, direction: string>,
-    http struct<version: string, request: struct<method: string, referrer: string>, response: struct<status_code: int, bytes: bigint>>,
-    url struct<original: string>,
-    user_agent struct<original: string>,
-    sudo struct<target_user: string, command: string>,
-    firewall struct<action: string>,
-    winlog struct<event_id: int>,
-    threat struct<matched: boolean, feed: string>,
-    labels map<string, string>
-"""
-EVENT_SCHEMA: T.StructType = T.StructType.fromDDL(EVENT_DDL)
+_TEXT, _INT, _LONG = T.StringType(), T.IntegerType(), T.LongType()
+_FIELDS: dict = {
+    "@timestamp": T.TimestampType(), "message": _TEXT, "raw": _TEXT, "ingest_seq": _LONG,
+    "event": {"category": _TEXT, "action": _TEXT, "outcome": _TEXT},
+    "source": {
+        "ip": _TEXT, "port": _INT, "geo": {"country_iso_code": _TEXT, "country_name": _TEXT},
+        "as": {"number": _LONG, "organization": _TEXT}, "asset": {"name": _TEXT, "trusted": T.BooleanType()},
+    },
+    "user": {"name": _TEXT, "role": _TEXT},
+    "host": {"name": _TEXT},
+    "log": {"source": _TEXT},
+    "process": {
+        "name": _TEXT, "pid": _INT, "executable": _TEXT, "command_line": _TEXT,
+        "parent": {"name": _TEXT, "executable": _TEXT, "command_line": _TEXT},
+    },
+    "destination": {"ip": _TEXT, "port": _INT},
+    "network": {"protocol": _TEXT, "direction": _TEXT},
+    "http": {"version": _TEXT, "request": {"method": _TEXT, "referrer": _TEXT}, "response": {"status_code": _INT, "bytes": _LONG}},
+    "url": {"original": _TEXT},
+    "user_agent": {"original": _TEXT},
+    "sudo": {"target_user": _TEXT, "command": _TEXT},
+    "firewall": {"action": _TEXT},
+    "winlog": {"event_id": _INT},
+    "threat": {"matched": T.BooleanType(), "feed": _TEXT},
+    "labels": T.MapType(_TEXT, _TEXT),
+}
+
+
+def _struct(fields: dict) -> T.StructType:
+    return T.StructType([T.StructField(k, _struct(v) if isinstance(v, dict) else v) for k, v in fields.items()])
+
+
+EVENT_SCHEMA: T.StructType = _struct(_FIELDS)
 
 
 def field_type(path: str, schema: T.StructType = EVENT_SCHEMA) -> T.DataType | None:
