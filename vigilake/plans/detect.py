@@ -44,14 +44,16 @@ def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m")
             shared[t.by, t.op, t.value, r.window(alert_window)].append(r)
     for (by, op, value, seconds), group in shared.items():
         hits = F.array_compact(F.array(*(F.when(r.predicate(), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule_title"), F.lit(r.level).alias("severity"), F.lit(r.description).alias("description"))) for r in group)))
-        picked = events.select("scope", F.explode(hits).alias("rule"), (field(by).cast("string") if by else F.lit(None).cast("string")).alias("group_value"), F.col("`@timestamp`").alias("_ts"), F.col("ingest_seq").alias("_seq"), record.alias("event"))
+        by_value = field(by).cast("string") if by else F.lit(None).cast("string")
+        picked = events.select("*", F.explode(hits).alias("rule"), by_value.alias("group_value"), F.col("`@timestamp`").alias("_ts"), F.col("ingest_seq").alias("_seq"))
         chosen = threshold_evidence(picked, ["scope", "rule", "group_value"], "_ts", "_seq", seconds * 1_000_000, op, value)
+        # the event is put together after the windows, which pass its columns on as they are
+        chosen = chosen.select("scope", "rule", "group_value", "_ts", "_seq", "match_count", "evidence_rank", F.col("log.source").alias("_source"), record.alias("event"))
         alerts = chosen.groupBy("scope", "rule", "group_value").agg(
-            F.max("_ts").alias("timestamp"), F.min_by("event.log.source", "evidence_rank").alias("source"), F.max("match_count").alias("match_count"),
-            F.transform(F.sort_array(F.collect_list(F.struct("evidence_rank", "_seq", F.to_json("event").alias("j")))), lambda x: x["j"]).alias("_events"), F.max("_seq").alias("seq"),
+            F.max("_ts").alias("timestamp"), F.min_by("_source", "evidence_rank").alias("source"), F.max("match_count").alias("match_count"),
+            # sorted by a comparator: an event holds a map, which has no order of its own
+            F.transform(F.array_sort(F.collect_list(F.struct("evidence_rank", "event")), _by_rank), lambda x: x["event"]).alias("events"), F.max("_seq").alias("seq"),
         )
-        kind = picked.schema["event"].dataType.simpleString()
-        alerts = alerts.withColumn("events", F.transform("_events", lambda j: F.from_json(j, kind)))
         parts.append(alerts.select("scope", "rule.rule_id", "rule.rule_title", "rule.severity", "timestamp", "source", "group_value", "rule.description", "match_count", "events", "seq"))
     out = parts[0]
     for part in parts[1:]:
@@ -59,6 +61,10 @@ def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m")
     return out
 
 
+def _by_rank(x: Column, y: Column) -> Column:
+    return (x["evidence_rank"] - y["evidence_rank"]).cast("int")
+
+
 def correlation_alerts(alerts: DataFrame, correlations: list[Correlation]) -> DataFrame | None:
     """Alerts of all correlations over the firings of all rules, the silent ones included."""
     parts = []
@@ -66,8 +72,7 @@ def correlation_alerts(alerts: DataFrame, correlations: list[Correlation]) -> Da
         keys = [f"_k{i}" for i in range(len(c.group_by))]
         rows = alerts.where(F.col("rule_id").isin(list(c.rules)))
         for key, path in zip(keys, c.group_by, strict=True):
-            values = F.transform("events", lambda e, path=path: _get(e, path).cast("string"))
-            rows = rows.withColumn(key, F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0)))
+            rows = rows.withColumn(key, _first_value("events", path))
         rows = rows.withColumn("_scope", F.coalesce("scope", F.lit(""))).withColumn("_id", F.struct("seq", "rule_id"))
         chain = ordered_chain if c.type == "temporal_ordered" else unordered_chain
         found = chain(rows, ["_scope", *keys], list(c.rules), micros(c.timespan), ts="timestamp", seq="seq")
@@ -86,6 +91,12 @@ def correlation_alerts(alerts: DataFrame, correlations: list[Correlation]) -> Da
     return out
 
 
+def _first_value(events: str, path: str) -> Column:
+    """The first value of a field over the evidence that isn't null."""
+    values = F.transform(events, lambda e: _get(e, path).cast("string"))
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+
+
 def _get(event: Column, path: str) -> Column:
     for part in path.split("."):
         event = event[part]
@@ -108,7 +119,7 @@ def travel_alerts(events: DataFrame, detector: Correlation = TRAVEL) -> DataFram
         F.col("`@timestamp`").alias("ts"), F.struct(F.col("ingest_seq"), F.to_json(record).alias("event")).alias("seq"), "scope",
     )
     found = impossible_travel(logins, micros(detector.timespan))
-    kind = events.select(record.alias("e")).schema["e"].dataType.simpleString()
+    kind = events.select(record.alias("e")).schema["e"].dataType
     pair = F.array(*(F.from_json(f"seq_{k}.event", kind) for k in (1, 2)))
     scope = F.when(F.col("user.scope") != "", F.col("user.scope"))
     return found.withColumn("events", pair).select(*_alert(
