@@ -32,7 +32,7 @@ def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m")
     single = [r for r in rules if r.parsed.threshold is None]
     parts = []
     if single:
-        hits = F.array_compact(F.array(*(F.when(r.predicate(), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule_title"), F.lit(r.level).alias("severity"), F.lit(r.description).alias("description"))) for r in single)))
+        hits = F.array_compact(F.array(*(F.when(r.predicate(), _rule_struct(r)) for r in single)))
         found = events.select("*", F.explode(hits).alias("_r"))
         parts.append(found.select(
             "scope", "_r.rule_id", "_r.rule_title", "_r.severity", F.col("`@timestamp`").alias("timestamp"), F.col("log.source").alias("source"),
@@ -43,9 +43,13 @@ def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m")
         if t := r.parsed.threshold:
             shared[t.by, t.op, t.value, r.window(alert_window)].append(r)
     for (by, op, value, seconds), group in shared.items():
-        hits = F.array_compact(F.array(*(F.when(r.predicate(), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule_title"), F.lit(r.level).alias("severity"), F.lit(r.description).alias("description"))) for r in group)))
+        hits = F.array_compact(F.array(*(F.when(r.predicate(), _rule_struct(r)) for r in group)))
         by_value = field(by).cast("string") if by else F.lit(None).cast("string")
-        picked = events.select("*", F.explode(hits).alias("rule"), by_value.alias("group_value"), F.col("`@timestamp`").alias("_ts"), F.col("ingest_seq").alias("_seq"))
+        keyed = events.withColumns({"group_value": by_value, "_ts": F.col("`@timestamp`"), "_seq": F.col("ingest_seq")})
+        if len(group) == 1:  # a filter, with nothing to explode
+            picked = keyed.where(group[0].predicate()).withColumn("rule", _rule_struct(group[0]))
+        else:
+            picked = keyed.withColumn("rule", F.explode(hits))
         chosen = threshold_evidence(picked, ["scope", "rule", "group_value"], "_ts", "_seq", seconds * 1_000_000, op, value)
         # the event is put together after the windows, which pass its columns on as they are
         chosen = chosen.select("scope", "rule", "group_value", "_ts", "_seq", "match_count", "evidence_rank", F.col("log.source").alias("_source"), record.alias("event"))
@@ -61,6 +65,10 @@ def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m")
     return out
 
 
+def _rule_struct(r: Rule) -> Column:
+    return F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.title).alias("rule_title"), F.lit(r.level).alias("severity"), F.lit(r.description).alias("description"))
+
+
 def _by_rank(x: Column, y: Column) -> Column:
     return (x["evidence_rank"] - y["evidence_rank"]).cast("int")
 
