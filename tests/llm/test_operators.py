@@ -264,6 +264,19 @@ def test_quality(spark, odd, none):
     assert Ranking((0.0,), 0.0).weights == (0.0,)
 
 
+def test_quality_cut_covers_all_labels(spark):
+    rng = np.random.default_rng(5)
+    y = (rng.random(20_000) >= 0.01).astype(int)
+    x = rng.normal(size=(len(y), 21)) + 1.2 * y[:, None] * (np.arange(21) < 3)
+    rows = spark.createDataFrame([(k, v.tolist(), int(q)) for k, (v, q) in enumerate(zip(x, y, strict=True))], "id long, features array<float>, quality int")
+    ranking = fit_ranking(rows, most_rows=800)
+    worth, share = x.astype("f4").astype("f8") @ np.array(ranking.weights), (y == 0).mean()
+    below = (worth < ranking.cut).mean()
+    assert 0.97 * share - 1e-4 <= below <= 1.03 * share + 1e-4
+    rejected = rows.where(ranking.score(F.col("features")) < 0.3).count()
+    assert abs(rejected - below * len(y)) <= 1
+
+
 def test_bpe(spark, odd, none):
     from tokenizers import Tokenizer
 

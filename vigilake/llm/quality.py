@@ -77,6 +77,10 @@ def featurized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, features array<float>")
 
 
+def worth_of(features: Column, weights: tuple[float, ...]) -> Column:
+    return sum((F.element_at(features, k + 1).cast("double") * w for k, w in enumerate(weights)), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Ranking:
     """Weights of the features, and the score at the quantile that parts good from bad."""
@@ -88,8 +92,7 @@ class Ranking:
         """Between 0 and 1, and ``at_cut`` at the cut; 0.5 for all where nothing could be learned."""
         if not any(self.weights):
             return F.lit(0.5)
-        worth = sum((F.element_at(features, k + 1).cast("double") * w for k, w in enumerate(self.weights)), F.lit(0.0))
-        margin = worth - self.cut + float(np.log(at_cut / (1 - at_cut)))
+        margin = worth_of(features, self.weights) - self.cut + float(np.log(at_cut / (1 - at_cut)))
         return 1 / (1 + F.exp(-margin))
 
 
@@ -101,14 +104,16 @@ def fit_ranking(
 
     The fit takes ``most_rows`` labelled rows at most, picked by hash of id, so its
     cost and what reaches the driver are bounded (8,000 rows of 21 floats). Each rejected document
-    is paired with ``pairs_per_row`` accepted ones. The cut is the quantile of the sample's scores
-    at the sample's share of rejected documents, taken midway between the quantiles a little below
-    and above that share, so that it stands in the gap. With labels of one kind only, all weights
-    are 0.
+    is paired with ``pairs_per_row`` accepted ones. Only the weights come from these rows. The cut is
+    the quantile of all labelled rows' scores at the share of rejected documents among all of them,
+    taken midway between the quantiles a little below and above that share, so that it stands in the
+    gap; ranks are right to a millionth of the rows at any size. With labels of one kind only, all
+    weights are 0.
     """
     labelled = labelled.where("quality in (0, 1)")
     # a share by hash first, so that what reaches the driver doesn't grow with the partitions
-    share = min(1.0, 1.2 * most_rows / max(1, labelled.count()))
+    total, rejected = labelled.agg(F.count("*"), F.count_if(F.col("quality") == 0)).head()
+    share = min(1.0, 1.2 * most_rows / max(1, total))
     near = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = labelled.where(near).orderBy(F.xxhash64("id"), "id").limit(most_rows).select("features", "quality").collect()
     y = np.array([r["quality"] for r in sample])
@@ -125,8 +130,10 @@ def fit_ranking(
         gradient = d.T @ (1 - p) / len(d) - ridge * w
         hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
         w = w + np.linalg.solve(hessian, gradient)
-    share = (y == 0).mean()
-    return Ranking(tuple(w.tolist()), float(np.quantile(x @ w, [0.97 * share, min(1, 1.03 * share)]).mean()))
+    weights = tuple(w.tolist())
+    worth = labelled.select(worth_of(F.col("features"), weights).alias("worth"))
+    around = worth.agg(F.percentile_approx("worth", [0.97 * rejected / total, min(1.0, 1.03 * rejected / total)], 1_000_000)).head()[0]
+    return Ranking(weights, float(np.mean(around)))
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -140,14 +147,16 @@ def quality_scores(
     """One row per document: id, held_out, score, predicted.
 
     Learns from ``labels`` (id, quality) outside the held-out fifth of ids. Only the text is scored:
-    one scan makes 21 numbers of each, which are kept; then the fit joins them with the labels.
+    one scan makes 21 numbers of each, which are kept; then the fit joins them with the labels, and
+    the cut is taken over all labelled rows.
     Null and empty texts get the score of their features. Labels that are null, not 0 or 1, or for
     no document are ignored, of several for one id the smallest counts; repeated documents are
     scored as often as they stand. Other columns play no part. An empty table gives no rows.
     """
-    features = Stages(docs.sparkSession, "quality").save(featurized(docs, id_col, text_col), "features")
+    stages = Stages(docs.sparkSession, "quality")
+    features = stages.save(featurized(docs, id_col, text_col), "features")
     known = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
-    ranking = fit_ranking(features.join(known, "id"))
+    ranking = fit_ranking(stages.save(features.join(known, "id"), "labelled"))
     score = ranking.score(F.col("features"), accept)
     return features.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= accept).cast("int")
