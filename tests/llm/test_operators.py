@@ -18,7 +18,7 @@ from vigilake.llm.bpe import WordBpe, bpe_digests, bpe_encode
 from vigilake.llm.common import Stages
 from vigilake.llm.components import connected_components
 from vigilake.llm.exact_dedup import exact_dedup
-from vigilake.llm.line_dedup import dedup_lines
+from vigilake.llm.line_dedup import dedup_lines, shingle_hashes, signed
 from vigilake.llm.ngram_join import choose_boundary, jaccard_components
 from vigilake.llm.packing import UnitEncoder, pack_documents, packing_plan
 from vigilake.llm.quality import Ranking, fit_ranking, quality_scores
@@ -168,6 +168,34 @@ def test_line_dedup(spark, odd, none):
     assert dedup_lines(odd).count() == 10 and dedup_lines(none).count() == 0
 
 
+def shingles(line, width=5):
+    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
+
+
+def test_line_shingles_against_brute_force(spark):
+    random.seed(11)
+    words = ["".join(random.choices("abcdefghijklmnop", k=random.randint(2, 9))) for _ in range(400)]
+    lines = ["ab", "日本語テキスト😀混在abc", *("x" * n + "y" * n for n in (2, 34, 64, 66)), "👍🏽" * 70]
+    for n in (3, 5, 8, 12, 20, 40, 90):
+        for _ in range(12):
+            line = " ".join(random.choices(words, k=n))
+            at = random.randrange(len(line))
+            lines += [line, line[:at] + "#" + line[at + 1 :], line.replace(random.choice(line.split()), random.choice(words), 1)]
+    lines = list(dict.fromkeys(lines))
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sizes = {r["doc_id"]: r["n"] for r in frame.select("doc_id", F.size(shingle_hashes(F.col("text"), 5)).alias("n")).collect()}
+    sets = [shingles(x) for x in lines]
+    assert [sizes[k] for k in range(len(lines))] == [len(x) for x in sets]
+    root = list(range(len(lines)))
+    for b in range(len(lines)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    removed = {r["doc_id"] for r in dedup_lines(frame).where("n_removed = 1").collect()}
+    assert removed == {k for k, r in enumerate(root) if r != k} and len(removed) > 60
+
+
 def test_secrets(spark, odd, none):
     model = fit_secret_model(labelled_findings(spark, 2000))
     docs = [
