@@ -196,6 +196,14 @@ def test_line_shingles_against_brute_force(spark):
     assert removed == {k for k, r in enumerate(root) if r != k} and len(removed) > 60
 
 
+def test_line_sets_reach_late_characters(spark):
+    pairs = [("order 20240115093000001 shipped", "order 20240115093000002 shipped"), ("checksum 9f86d081884c7d65", "checksum 9f86d081884c0000"), ("internationalisation", "internationalization")]
+    for a, b in pairs:
+        assert len(shingles(a) & shingles(b)) < 0.8 * len(shingles(a) | shingles(b))
+    rows = [r for pair in pairs for r in pair]
+    assert dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).agg(F.sum("n_removed")).head()[0] == 0
+
+
 def test_secrets(spark, odd, none):
     model = fit_secret_model(labelled_findings(spark, 2000))
     docs = [
