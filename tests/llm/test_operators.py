@@ -18,7 +18,7 @@ from vigilake.llm.bpe import WordBpe, bpe_digests, bpe_encode
 from vigilake.llm.common import Stages
 from vigilake.llm.components import connected_components
 from vigilake.llm.exact_dedup import exact_dedup
-from vigilake.llm.line_dedup import dedup_lines, shingle_hashes, signed
+from vigilake.llm.line_dedup import dedup_lines, function_bands, shingle_hashes
 from vigilake.llm.ngram_join import choose_boundary, jaccard_components
 from vigilake.llm.packing import UnitEncoder, pack_documents, packing_plan
 from vigilake.llm.quality import Ranking, fit_ranking, quality_scores
@@ -196,6 +196,17 @@ def test_line_shingles_against_brute_force(spark):
     assert removed == {k for k, r in enumerate(root) if r != k} and len(removed) > 60
 
 
+def test_line_band_recall_on_small_sets(spark):
+    rng = np.random.default_rng(8)
+    for union, shared in ((5, 4), (10, 8), (20, 16)):
+        h = rng.integers(-(2**63), 2**63 - 1, (1000, union))
+        only = shared + (union - shared) // 2
+        rows = [(v[:only].tolist(), np.concatenate((v[:shared], v[only:])).tolist()) for v in h]
+        frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
+        met = frame.where(F.arrays_overlap(function_bands("a", 24, 6), function_bands("b", 24, 6))).count()
+        assert met >= 993
+
+
 def test_line_sets_reach_late_characters(spark):
     pairs = [("order 20240115093000001 shipped", "order 20240115093000002 shipped"), ("checksum 9f86d081884c7d65", "checksum 9f86d081884c0000"), ("internationalisation", "internationalization")]
     for a, b in pairs:
