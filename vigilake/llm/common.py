@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ class Stages:
     """Tables written under the shared folder, so that lost executors cost no recomputation.
 
     ``save`` writes a DataFrame as Parquet and reads it again, which also cuts its lineage;
-    ``drop`` deletes a table that a later one has replaced.
+    ``drop`` deletes tables that later ones have replaced.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -42,14 +44,28 @@ class Stages:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        with freed_shuffles(self.spark):
+            df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved._vigilake_path = path
         return saved
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._vigilake_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._vigilake_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it a query's shuffle files go when the query ends: its result is a table by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def text_of(column: str | Column) -> Column:

@@ -10,49 +10,156 @@ from pyspark.sql import functions as F
 from .common import Stages
 from .components import connected_components
 
+PARTS = 64  # parts that the pairs of one center are dealt into, so that no center is one task's
+CROWD = 16  # groups of no more members are settled by their pairs, a few for each member (the plan only; links are the same)
 
-def link_groups(
-    members: DataFrame,
-    compatible: Callable[[str, str], Column],
-    verify: Callable[[DataFrame], DataFrame],
-    stages: Stages,
-    star_rounds: int = 2,
-) -> DataFrame:
-    """(node, root) over the keys of ``members`` (grp, key, ...) that link with another.
-
-    Two keys link when they share a group, ``compatible(a, b)`` holds for their rows (a cheap bound
-    on columns with either prefix that never refuses a true pair) and ``verify`` keeps the pair
-    (a, b). The result has the components of all such links. In a star round each group has one
-    center, chosen by hash; its other members meet only the center. Members that have joined a
-    component need no more links into it, so after the rounds a crowded group of near copies is one
-    component with a few strays. The last round compares what is then still in different components
-    of one group, so no link is lost, however crowded the group.
+
+class Linker:
+    """Components of the sets that link, sought within groups of candidates.
+
+    ``members`` are (grp, key, size, rank), ``facts`` (key, size, ...) of each key, ``sets(keys)``
+    gives (key, elements), the distinct elements of whole sets; ``bound(x, y)`` is a lower bound of
+    the number of elements in which two sets differ, on the columns of ``facts`` with two prefixes.
+    Two sets of one group link when intersection * 100 >= union * ``percent``.
+
+    In a round each group has one center, of least rank, and its other members meet the center
+    alone. Groups that then stand in one component are done, and small ones wait for the end. With c
+    the center of a crowded one and D(x) the elements in which x and c differ, x links with c when
+    D(x) is small enough; and of two sets that link, but not both with c, the sets D share
+    (|D(x)| + |D(y)| - most differing) / 2 elements at least, one in any case. So members near c are
+    grouped anew by elements of D that another member's D has too, as many as this bound asks for, the
+    rarest first: a crowd of near copies falls apart into those that share changes, and members whose
+    own, unshared changes are too many for any link leave. Members far from c stay together without
+    it; the triangle inequality puts each pair that may link into one of the two. The next round takes
+    what is still crowded. At the end all pairs of what is left in several components are compared,
+    where the bounds allow a link, so no link of a group is lost.
     """
-    open_ = stages.save(members, "members")
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
-    for r in range(star_rounds + 1):
-        here = open_ if roots is None else _with_roots(open_, roots)
-        if roots is None:
-            here = here.withColumn("comp", F.col("key"))
-        else:
-            mixed = here.groupBy("grp").agg((F.min("comp") < F.max("comp")).alias("more")).where("more").select("grp")
-            here = stages.save(here.join(mixed, "grp"), f"open_{r}")
-        left = here.select("grp", *(F.col(c).alias(f"x_{c}") for c in here.columns if c != "grp"))
-        right = here.select("grp", *(F.col(c).alias(f"y_{c}") for c in here.columns if c != "grp"))
-        if r < star_rounds:
-            center = F.min_by(F.struct(*[c for c in left.columns if c != "grp"]), F.struct(F.xxhash64("x_key", F.lit(r)), "x_key"))
-            left = left.groupBy("grp").agg(center.alias("c")).select("grp", "c.*")
-            met = left.join(right, "grp").where(F.col("x_comp") != F.col("y_comp"))
+
+    def __init__(
+        self,
+        stages: Stages,
+        percent: int,
+        facts: DataFrame,
+        bound: Callable[[str, str], Column],
+        sets: Callable[[DataFrame], DataFrame],
+        rounds: int = 2,
+    ):
+        self.stages, self.percent, self.facts, self.bound, self.sets, self.rounds = stages, percent, facts, bound, sets, rounds
+        # near means within so many times the most that a link allows (some 4/3 of a set's size), far means beyond a little less
+        self.shell = max(1 + -(-200 // percent), -(-4 * percent // (3 * (100 - percent)))) if percent < 100 else 3
+        self.beyond = (self.shell - 1) * percent / 100
+        self.per = (100 - percent) / (100 + percent)  # linked sets differ in so large a share of their sizes' sum at most
+
+    def most(self, size: Column) -> Column:
+        """The elements in which a set of this size may differ from one it links with."""
+        return size * (100 - self.percent) / self.percent
+
+    def at(self, pairs: DataFrame, of: DataFrame, on: str, prefix: str) -> DataFrame:
+        """``pairs`` (c, key) with the columns of ``of`` for one side, a center's pairs in parts."""
+        columns = [F.col(n).alias(f"{prefix}{n}") for n in of.columns if n != "key"]
+        of = of.select(F.col("key").alias(on), *columns)
+        if on == "key":
+            return pairs.join(of, "key")
+        part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part")
+        needed = pairs.select("c", part).distinct().join(of, "c")
+        return pairs.select("*", part).join(needed, ["c", "part"]).drop("part")
+
+    def differences(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(c, key, c_size, size, delta) for the pairs (c, key, wide) that are near, or link."""
+        met = self.at(self.at(pairs, self.facts, "key", "x_"), self.facts, "c", "y_")
+        reach = F.when(F.col("wide"), F.lit(self.shell)).otherwise(F.lit(1)) * self.most(F.col("x_size"))
+        near = met.where(self.bound("x_", "y_") <= reach).select("c", "key", F.col("y_size").alias("c_size"), F.col("x_size").alias("size"))
+        near = self.stages.save(near, f"near_{name}")
+        keys = self.stages.save(near.select("key").union(near.select("c")).distinct(), f"keys_{name}")
+        sets = self.stages.save(self.sets(keys), f"sets_{name}")
+        both = self.at(self.at(near, sets, "key", "x_"), sets, "c", "y_")
+        delta = F.concat(F.array_except("x_elements", "y_elements"), F.array_except("y_elements", "x_elements"))
+        made = both.select("c", "key", "c_size", "size", delta.alias("delta")).where(F.size("delta") <= self.shell * self.most(F.col("size")))
+        made = self.stages.save(made, f"deltas_{name}")
+        self.stages.drop(near, keys, sets)
+        return made
+
+    def roots(self, members: DataFrame) -> DataFrame:
+        """(node, root) over the keys that link with another."""
+        links: DataFrame | None = None
+        roots: DataFrame | None = None
+        waiting = []
+        for r in range(self.rounds):
+            center = F.min(F.struct("rank", F.xxhash64("key").alias("tie"), "key")).alias("c")
+            centers = members.groupBy("grp").agg(center, F.count("*").alias("n")).select("grp", F.col("c.key").alias("c"), "n")
+            met = self.stages.save(members.join(centers, "grp").where("key <> c"), f"met_{r}")
+            pairs = self.stages.save(met.groupBy("c", "key").agg(F.max(F.col("n") > CROWD).alias("wide")), f"pairs_{r}")
+            deltas = self.differences(pairs, str(r))
+            linked = self.linked(deltas)
+            links = linked if links is None else links.union(linked)
+            roots = connected_components(links, self.stages)
+            left = self.stages.save(self._mixed(met, roots), f"left_{r}")
+            waiting.append(left.where(F.col("n") <= CROWD).select("grp", "key", "size", F.lit(0).alias("e"), F.lit(1).cast("long").alias("q")))
+            again = self.regrouped(left.where(F.col("n") > CROWD), deltas, r)
+            again = self.stages.save(self._mixed(self.stages.save(again, f"regrouped_{r}"), roots), f"members_{r}")
+            waiting.append(again.where(F.col("n") <= CROWD).select("grp", "key", "size", "e", "q"))
+            members = again.where(F.col("n") > CROWD).select("grp", "key", "size", "rank", "e", "q")
+            self.stages.drop(met, pairs)
+            if members.isEmpty():
+                break
         else:
-            met = left.join(right, "grp").where(F.col("x_comp") < F.col("y_comp"))
-        pairs = met.where(compatible("x_", "y_")).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
-        found = stages.save(verify(stages.save(pairs, f"pairs_{r}")).select("a", "b"), f"links_{r}")
-        links = found if links is None else links.union(found)
-        roots = connected_components(links, stages)
-    return roots
+            waiting.append(members.select("grp", "key", "size", "e", "q"))
+        here = waiting[0]
+        for w in waiting[1:]:
+            here = here.union(w)
+        here = self.stages.save(self._mixed(here, roots), "last")
+        sides = [here.select("grp", *(F.col(c).alias(f"{p}_{c}") for c in ("key", "size", "comp", "e", "q"))) for p in "xy"]
+        fit = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * self.percent
+        shared = F.col("x_e") + F.col("y_e") - (F.col("x_size") + F.col("y_size")) * self.per - 1e-6 <= 2 * F.least("x_q", "y_q")
+        pairs = sides[0].join(sides[1], "grp").where((F.col("x_comp") < F.col("y_comp")) & fit & shared)
+        pairs = pairs.select(F.col("x_key").alias("c"), F.col("y_key").alias("key"), F.lit(False).alias("wide")).distinct()
+        linked = self.linked(self.differences(self.stages.save(pairs, "last_pairs"), "last"))
+        return connected_components(links.union(linked), self.stages)
+
+    def linked(self, deltas: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link: union = (sizes + differing) / 2."""
+        close = F.size("delta") * (100 + self.percent) <= (F.col("size") + F.col("c_size")) * (100 - self.percent)
+        return deltas.where(close).select(F.col("c").alias("a"), F.col("key").alias("b"))
+
+    def regrouped(self, left: DataFrame, deltas: DataFrame, r: int) -> DataFrame:
+        """The next (grp, key, size, rank, e, q) for ``left`` (grp, key, size, rank, c, comp)."""
+        near = left.select("c", "key", "rank", "comp").distinct().join(deltas.select("c", "key", "size", "delta"), ["c", "key"])
+        near = self.stages.save(near, f"around_{r}")
+        within = deltas.where(F.size("delta") <= self.beyond * self.most(F.col("size"))).select("c", "key")
+        far = left.join(within, ["c", "key"], "left_anti")
+        far = far.select(F.xxhash64("grp", "c").alias("grp"), "key", "size", "rank", F.lit(0).alias("e"), F.lit(1).cast("long").alias("q"))
+        return self.by_changes(near, r).unionByName(far)
 
+    def by_changes(self, near: DataFrame, r: int) -> DataFrame:
+        """Members near their center, by the elements of their differences that others share."""
+        part = F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part")
+        changes = near.select("c", "key", part, F.explode("delta").alias("u"))
+        counts = changes.groupBy("c", "u", "part").agg(F.count("*").alias("k"))
+        total = counts.groupBy("c", "u").agg(F.sum("k").alias("k")).where("k > 1")
+        shared = changes.join(counts.select("c", "u", "part").join(total, ["c", "u"]), ["c", "u", "part"])
+        listed = shared.groupBy("c", "key").agg(F.sort_array(F.collect_list(F.struct("k", "u"))).alias("shared"), F.count("*").alias("q"))
+        x = near.select("c", "key", "size", "rank", "comp", F.size("delta").alias("e")).join(listed, ["c", "key"])
+        x = self.stages.save(x.withColumns({"e_cell": F.floor(F.log1p("e") * 8), "q_cell": F.floor(F.log1p("q") * 8)}), f"changes_{r}")
+        # members alike in numbers of changes and of shared changes are one cell; cells that allow no link with any other drop out
+        cells = x.groupBy("c", "e_cell", "q_cell").agg(
+            F.min("e").alias("e"), F.max("q").alias("q"), F.max("size").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        )
+        cells = self.stages.save(cells, f"cells_{r}")
+        i, j = (cells.select("c", *(F.col(n).alias(f"{p}_{n}") for n in cells.columns if n != "c")) for p in "ij")
+        met = i.join(j, "c").where((F.least("i_lo", "j_lo") < F.greatest("i_hi", "j_hi")))
+        least = F.ceil((F.col("i_e") + F.col("j_e") - (F.col("i_size") + F.col("j_size")) * self.per - 1e-6) / 2)
+        open_ = met.where(F.greatest(least, F.lit(1)) <= F.least("i_q", "j_q"))
+        open_ = open_.groupBy("c", F.col("i_e_cell").alias("e_cell"), F.col("i_q_cell").alias("q_cell")).agg(F.min(F.col("j_e") - F.col("j_size") * self.per).alias("other"))
+        x = x.join(open_, ["c", "e_cell", "q_cell"])
+        least = F.greatest(F.ceil((F.col("e") - F.col("size") * self.per + F.col("other") - 1e-6) / 2), F.lit(1))
+        x = x.where(least <= F.col("q"))
+        tokens = F.slice("shared", F.lit(1), (F.col("q") - least + 1).cast("int"))
+        x = x.select("c", "key", "size", "rank", "e", "q", F.explode(tokens).alias("s"))
+        return x.select(F.xxhash64("c", "s.u").alias("grp"), "key", "size", "rank", "e", "q")
 
-def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
-    roots = roots.select(F.col("node").alias("key"), "root")
-    return members.join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+    def _mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """``members`` with their component, those of groups that stand in several, and these groups' sizes."""
+        roots = roots.select(F.col("node").alias("key"), "root")
+        here = members.drop("comp", "n").join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+        mixed = here.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+        return here.join(mixed.where("lo < hi").select("grp", "n"), "grp")
