@@ -44,17 +44,12 @@ def exact_dedup(
     prefixes = narrowed.groupBy("n_bytes", "prefix").count().where("count > 1").select("n_bytes", "prefix")
     narrowed = narrowed.join(prefixes, ["n_bytes", "prefix"], "left_semi")
     if not digest_all:
-        ids = narrowed.select("id").distinct()
-        full = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(ids, "id", "left_semi")
-        full = full.select(
-            "id",
-            F.octet_length("text").alias("n_bytes"),
-            F.xxhash64(F.substring("text", 1, prefix_chars)).alias("prefix"),
-            F.unhex(F.sha2("text", 256)).alias("digest"),
-        ).distinct()
-        # one id may stand on several texts; those of one length and prefix stay apart by digest
-        narrowed = stages.save(narrowed.drop("digest").join(full, ["id", "n_bytes", "prefix"]), "survivors")
-        facts = facts.drop("digest").join(narrowed.select("row", "digest").dropDuplicates(["row"]), "row", "left")
+        # survivors are read again as rows of their own, by length and prefix hash, so neither null nor repeated ids matter
+        full = docs.select(F.col(id_col).alias("id"), F.octet_length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"), text.alias("text"))
+        full = full.join(prefixes, ["n_bytes", "prefix"], "left_semi").select("id", "n_bytes", "prefix", F.unhex(F.sha2("text", 256)).alias("digest"))
+        narrowed = stages.save(full.withColumn("row", F.monotonically_increasing_id()), "survivors")
+        alone = facts.join(prefixes, ["n_bytes", "prefix"], "left_anti")
+        facts = narrowed.select("id", "n_bytes", "prefix", "digest", "row").unionByName(alone.select("id", "n_bytes", "prefix", "digest", "row"))
 
     groups = (
         narrowed.groupBy("n_bytes", "prefix", "digest")

@@ -42,7 +42,7 @@ class Linker:
         facts: DataFrame,
         bound: Callable[[str, str], Column],
         sets: Callable[[DataFrame], DataFrame],
-        rounds: int = 2,
+        rounds: int = 3,
     ):
         self.stages, self.percent, self.facts, self.bound, self.sets, self.rounds = stages, percent, facts, bound, sets, rounds
         # near means within so many times the most that a link allows (some 4/3 of a set's size), far means beyond a little less
@@ -79,8 +79,8 @@ class Linker:
         self.stages.drop(near, keys, sets)
         return made
 
-    def roots(self, members: DataFrame) -> DataFrame:
-        """(node, root) over the keys that link with another."""
+    def links(self, members: DataFrame) -> DataFrame:
+        """Pairs (a, b) that link, with the same components as all pairs that do."""
         links: DataFrame | None = None
         roots: DataFrame | None = None
         waiting = []
@@ -92,7 +92,9 @@ class Linker:
             deltas = self.differences(pairs, str(r))
             linked = self.linked(deltas)
             links = linked if links is None else links.union(linked)
-            roots = connected_components(links, self.stages)
+            # stars of the round before stand for its links
+            stars = linked if roots is None else linked.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = connected_components(stars, self.stages)
             left = self.stages.save(self._mixed(met, roots), f"left_{r}")
             waiting.append(left.where(F.col("n") <= CROWD).select("grp", "key", "size", F.lit(0).alias("e"), F.lit(1).cast("long").alias("q")))
             again = self.regrouped(left.where(F.col("n") > CROWD), deltas, r)
@@ -114,7 +116,7 @@ class Linker:
         pairs = sides[0].join(sides[1], "grp").where((F.col("x_comp") < F.col("y_comp")) & fit & shared)
         pairs = pairs.select(F.col("x_key").alias("c"), F.col("y_key").alias("key"), F.lit(False).alias("wide")).distinct()
         linked = self.linked(self.differences(self.stages.save(pairs, "last_pairs"), "last"))
-        return connected_components(links.union(linked), self.stages)
+        return links.union(linked)
 
     def linked(self, deltas: DataFrame) -> DataFrame:
         """The pairs (a, b) that link: union = (sizes + differing) / 2."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,13 +12,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import WHITE, in_slices
 from .common import Stages, spread, text_of
-
-SPACE = WHITE[1:-2]
-#: White space and the word after it. Byte-level patterns match nothing across a word's end, so each
-#: unit is encoded as it would be within its text.
-UNIT = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+from .text_bytes import slices
+
+#: The same white space in UTF-8: one byte, or a lead byte and what follows it.
+SPACE_BYTE = np.zeros(256, bool)
+SPACE_BYTE[[0x20, *range(0x09, 0x0E)]] = True
+WIDE_SPACES = sorted({chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)})
+
+
+def unit_starts(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Where units begin: white space and the word after it are one, as is white space at a text's end.
+
+    Byte-level patterns match nothing across a word's end, so each unit is encoded as it would be
+    within its text."""
+    space = SPACE_BYTE[data]
+    for lead in {mark[0] for mark in WIDE_SPACES}:
+        leads = np.flatnonzero(data == lead)
+        for mark in (m for m in WIDE_SPACES if m[0] == lead and len(leads)):
+            at = leads[leads + len(mark) <= len(data)]
+            for k in range(1, len(mark)):
+                at = at[data[at + k] == mark[k]]
+            for k in range(len(mark)):
+                space[at + k] = True
+    begins = np.zeros(len(data), bool)
+    begins[1:] = space[1:] & ~space[:-1]
+    begins[heads[heads < len(data)]] = True
+    return np.flatnonzero(begins)
 
 
 class UnitEncoder:
@@ -32,38 +51,57 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # of two halves the older goes when the younger is full, so common units stay
         self.cache_units = cache_units
 
-    def units(self, text: str) -> list[str]:
-        if self.special is not None and "<" in text and self.special.search(text):
-            return [u for k, x in enumerate(self.special.split(text)) for u in ([x] if k % 2 else UNIT.findall(x))]
-        return UNIT.findall(text)
-
-    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
-        flat, ends = [], np.zeros(len(texts) + 1, "i8")
-        for k, text in enumerate(texts):
-            flat += self.units(text)
-            ends[k + 1] = len(flat)
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        del flat
-        distinct, cache = coded.dictionary.to_pylist(), self.cache
-        if len(cache) >= self.cache_units:
-            cache.clear()
+    def starts(self, data: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Where units begin; an added token is a unit of its own, and so is what stands on either side."""
+        raw, cuts = data.tobytes(), []
+        for token in map(str.encode, self.added):
+            at = raw.find(token)
+            while at >= 0:
+                cuts += [at, at + len(token)]
+                at = raw.find(token, at + len(token))
+        begins = unit_starts(data, heads)
+        if not cuts:
+            return begins
+        cuts = np.unique(np.array(cuts))
+        inside = np.zeros(len(data) + 1, bool)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # nothing begins within an added token
+            if raw[lo:hi] in map(str.encode, self.added):
+                inside[lo + 1 : hi] = True
+        begins = begins[~inside[begins]]
+        return np.union1d(begins, cuts[cuts < len(data)])
+
+    def encode_texts(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin and, last, end) of UTF-8 texts laid out in a row."""
+        heads = np.concatenate(([0], ends[:-1])).astype("i8")
+        begins = self.starts(data, heads)
+        if not len(begins):
+            return np.zeros(0, "<u4"), np.zeros(len(ends) + 1, "i8")
+        offsets = np.concatenate((begins, [len(data)])).astype("i8")
+        flat = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = flat.dictionary_encode()
+        if len(self.cache) >= self.cache_units // 2:
+            self.older, self.cache = self.cache, {}
+        distinct, cache, older = coded.dictionary.to_pylist(), self.cache, self.older
+        cache.update((x, older[x]) for x in distinct if x in older)
         new = [x for x in distinct if x not in cache]
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             for unit, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[unit] = np.array(made.ids, "<u4").tobytes()
-        placed = pa.array([cache[x] for x in distinct], pa.large_binary()).take(coded.indices)
-        if not len(placed):
-            return [np.zeros(0, "<u4") for _ in texts]
-        _, offsets, data = placed.buffers()
-        at = np.frombuffer(offsets, "i8")[: len(placed) + 1][ends] // 4
-        ids = np.frombuffer(data, "<u4") if data is not None else np.zeros(0, "<u4")
-        return [ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        ids = [cache[x] for x in distinct]
+        sizes = np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        vocabulary, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        stops = np.cumsum(n)
+        out = vocabulary[np.repeat(first[which] - (stops - n), n) + np.arange(stops[-1])]
+        per_unit = np.concatenate(([0], stops))
+        return out, per_unit[np.searchsorted(begins, np.concatenate((heads, [len(data)])))]
 
 
 @lru_cache(maxsize=2)
@@ -79,22 +117,26 @@ def token_pieces(
     longer than ``capacity``; then all pieces but the first are full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer_path)
+        tokens, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
-            for keys, texts in in_slices(batch, 12_000_000):
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(tokens.encode_texts(texts)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    first = len(ids) - (-(-len(ids) // capacity) - 1) * capacity
-                    for p, lo in enumerate([0, *range(first, len(ids), capacity)]):
-                        hi = first + p * capacity
-                        row.append(k)
-                        piece.append(p)
-                        start.append(lo)
-                        length.append(hi - lo)
-                        crc.append(zlib.crc32(ids[lo:hi].tobytes()))
+            for rows, data, ends in slices(batch, 1, 12_000_000):
+                ids, at = tokens.encode_texts(data, ends)
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                n = np.diff(at) + 1  # the end id
+                pieces = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = n - (pieces - 1) * capacity
+                start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[row], capacity)
+                last = piece == pieces[row] - 1
+                lo = 4 * (at[:-1][row] + start)
+                hi = lo + 4 * (length - last)
+                crc = [zlib.crc32(raw[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+                for k in np.flatnonzero(last).tolist():
+                    crc[k] = zlib.crc32(end, crc[k])
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                    [rows.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
 

@@ -142,11 +142,11 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.3
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.3, hold_out: bool = True
 ) -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
-    Learns from ``labels`` (id, quality) outside the held-out fifth of ids. Only the text is scored:
+    Learns from ``labels`` (id, quality) outside the held-out fifth of ids, or from all without ``hold_out``. Only the text is scored:
     one scan makes 21 numbers of each, which are kept; then the fit joins them with the labels, and
     the cut is taken over all labelled rows.
     Null and empty texts get the score of their features. Labels that are null, not 0 or 1, or for
@@ -155,7 +155,7 @@ def quality_scores(
     """
     stages = Stages(docs.sparkSession, "quality")
     features = stages.save(featurized(docs, id_col, text_col), "features")
-    known = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
+    known = (labels.where(~held_out(id_col)) if hold_out else labels).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
     ranking = fit_ranking(stages.save(features.join(known, "id"), "labelled"))
     score = ranking.score(F.col("features"), accept)
     return features.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score.alias("score")).withColumn(

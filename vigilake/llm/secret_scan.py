@@ -186,13 +186,14 @@ def redact_secrets(
     row. Null text comes back null; no row is dropped."""
     text = text_of(text_col)
     clean = docs.where(~text.rlike(PATTERN))
-    parts = _parts(docs, text_col)
-    rest = F.struct(*(c for c in docs.columns if c != text_col))
-    found = _candidates(parts.withColumn("_rest", rest), _path(docs, path_col))
+    # the row travels as one struct, so that no name inside meets a column of the user's
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)) if len(docs.columns) > 1 else F.lit(None)
+    held = docs.select(text.alias("text"), _path(docs, path_col).alias("_path"), rest.alias("_rest"))
+    found = _candidates(_parts(held, "text"), F.col("_path"))
     tail = F.when(F.col("_k") == F.size("_matches") - 1, F.get("_between", F.col("_k") + 1)).otherwise("")
     found = found.select("_row", "_k", "_rest", F.get("_between", F.col("_k")).alias("_head"), tail.alias("_tail"), "candidate", "before", "after", "path")
     voted = model.score(found)
     piece = F.concat("_head", F.when(F.col("is_secret"), F.lit(mask)).otherwise(F.col("candidate")), "_tail")
     whole = voted.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_k", piece.alias("piece")))).alias("pieces"), F.any_value("_rest").alias("_rest"))
-    made = whole.select(*(F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias(c) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
+    made = whole.select(*(F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns))
     return clean.unionByName(made)
