@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +14,15 @@ from .config import Config, load_config
 from .operators import enrichment as E
 from .operators.corpus import evaluate, load_cases
 from .operators.rollups import coverage
-from .plans.detect import deduplicated, detect
+from .operators.triage import ACTIONS, append_actions, read_actions, triaged
+from .plans.detect import Risk, deduplicated, detect
 from .plans.rules import load_rules, rules_frame
 from .plans.sigma import import_folder, merge_native_first
 from .session import get_session
 from .sources.intel import read_assets, read_blocklist, read_geoip
 from .sources.parsers import PARSERS, detect_source, parse, read_lines
 from .sources.scenarios import SCENARIOS
-from .sources.sinks import append_alerts, build_pushes, console_table
+from .sources.sinks import append_alerts, build_pushes, console_table, read_alerts
 
 
 def enricher(spark: SparkSession, config: Config):
@@ -35,11 +38,17 @@ def enricher(spark: SparkSession, config: Config):
     return (lambda events: E.enrich_events(events, **tables)) if tables else (lambda events: events)
 
 
+def risk_of(config: Config, rules: list) -> Risk | None:
+    """The risk settings of a config, with the scores that rules declare; None where it is switched off."""
+    scores = {r.id: r.risk_score for r in rules if r.risk_score is not None}
+    return Risk(config.risk_window, config.risk_threshold, scores=scores) if config.risk_threshold > 0 else None
+
+
 def replay(spark: SparkSession, paths: list[str], config: Config, source: str | None = None, mode: str = "replay") -> tuple[DataFrame, DataFrame]:
     """(events, alerts after dedup) of log files; each file's source is told by its first line."""
     parts = []
-    for path in paths:
-        lines = read_lines(spark, path)
+    for k, path in enumerate(paths):
+        lines = read_lines(spark, path).withColumn("ingest_seq", F.col("ingest_seq") + F.lit(k << 50))  # no number stands in two files
         first = detect_source(lines.withColumn("path", F.lit(path))).head() if source is None else None
         parts.append(parse(source or (first["source"] if first else "auth.log"), lines, config.year, config.sources))
     events = parts[0]
@@ -47,14 +56,14 @@ def replay(spark: SparkSession, paths: list[str], config: Config, source: str |
         events = events.unionByName(part)
     events = enricher(spark, config)(events)
     rules, correlations = load_rules()
-    alerts = deduplicated(detect(events, rules, correlations, config.alert_window), config.dedup_window)
+    alerts = deduplicated(detect(events, rules, correlations, config.alert_window, risk=risk_of(config, rules)), config.dedup_window)
     return events, alerts.withColumn("mode", F.lit(mode))
 
 
 def _deliver(alerts: DataFrame, config: Config, store: str | None) -> None:
     print(console_table(alerts))
     if store:
-        append_alerts(alerts.drop("events", "scope", "seq"), store)
+        append_alerts(alerts.drop("scope"), store)
     for push in build_pushes(config.notify):
         push.emit(alerts)
 
@@ -72,7 +81,18 @@ def main(argv: list[str] | None = None) -> int:
         verb.add_argument("--store")
     verbs.add_parser("list", help="list rules")
     verbs.add_parser("coverage", help="techniques covered")
-    verbs.add_parser("efficacy", help="rules against labelled cases; exit code 2 on a miss or a benign alert")
+    cases = verbs.add_parser("efficacy", help="rules against labelled cases; exit code 2 on a miss or a benign alert")
+    cases.add_argument("--json", help="also write the report to this file")
+    triage = verbs.add_parser("triage", help="act on the alerts of a store, or list them")
+    triage.add_argument("log", help="folder of the log of actions")
+    triage.add_argument("act", choices=("list", *ACTIONS))
+    triage.add_argument("--store", help="alerts to list")
+    triage.add_argument("--uid", action="append", default=[], help="alert to act on; may be repeated")
+    triage.add_argument("--value", help="status, note, incident or assignee")
+    triage.add_argument("--actor", default="analyst")
+    triage.add_argument("--status", help="list alerts of this status")
+    triage.add_argument("--incident", help="list alerts of this incident")
+    triage.add_argument("--open", action="store_true", help="list open alerts")
     sigma = verbs.add_parser("sigma", help="report on importing a folder of rules")
     sigma.add_argument("folder")
     watch = verbs.add_parser("watch", help="follow log files")
@@ -86,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         source, make = SCENARIOS[args.scenario]
         rules, correlations = load_rules()
         events = enricher(spark, config)(parse(source, make(spark, f"{config.year}-03-01 10:00:00"), config.year))
-        alerts = deduplicated(detect(events, rules, correlations, config.alert_window), config.dedup_window).withColumn("mode", F.lit("simulation"))
+        alerts = deduplicated(detect(events, rules, correlations, config.alert_window, risk=risk_of(config, rules)), config.dedup_window).withColumn("mode", F.lit("simulation"))
         _deliver(alerts, config, args.store)
     elif args.verb == "replay":
         _, alerts = replay(spark, args.paths, config, args.source)
@@ -99,7 +119,15 @@ def main(argv: list[str] | None = None) -> int:
         rules, correlations = load_rules()
         report = evaluate(spark, load_cases(), rules, correlations, enricher(spark, config))
         report.matrix.orderBy("rule_id").show(100, truncate=False)
+        if args.json:
+            Path(args.json).write_text(json.dumps(report.document(spark), indent=2) + "\n")
         return 0 if report.passed else 2
+    elif args.verb == "triage":
+        if args.act == "list":
+            held = triaged(read_alerts(spark, args.store), read_actions(spark, args.log), args.status, args.open, args.incident)
+            held.select("uid", "status", "assignee", "incident", "severity", "rule_title", "group_value", "timestamp").orderBy(F.desc("timestamp"), "uid").show(200, truncate=False)
+        else:
+            append_actions(spark, args.log, args.act, args.uid, args.value or "", args.actor)
     elif args.verb == "sigma":
         native, _ = load_rules()
         found = import_folder(args.folder)
@@ -112,7 +140,7 @@ def main(argv: list[str] | None = None) -> int:
 
         spark.dataSource.register(TailSource)
         rules, correlations = load_rules()
-        monitor = LiveMonitor(spark, rules, correlations, [lambda a: print(console_table(a)), *(p.emit for p in build_pushes(config.notify))], enricher(spark, config), config.alert_window, config.dedup_window)
+        monitor = LiveMonitor(spark, rules, correlations, [lambda a: print(console_table(a)), *(p.emit for p in build_pushes(config.notify))], enricher(spark, config), config.alert_window, config.dedup_window, risk_of(config, rules))
         lines = spark.readStream.format("tail").option("path", args.path).load()
         monitor.start(parse(args.source, lines, config.year), processingTime=f"{args.seconds} seconds").awaitTermination()
     return 0

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 V4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
@@ -30,22 +29,38 @@ def v4_number(ip: Column) -> Column:
     return F.when(ip.rlike(V4), number)
 
 
-@F.pandas_udf(T.StringType())
-def v6_hex(ip: pd.Series) -> pd.Series:
-    """32 hexadecimal digits of an IPv6 address, else null."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), use)[0]
 
-    def one(text: str | None) -> str | None:
-        try:
-            return f"{int(ipaddress.IPv6Address(text)):032x}" if text else None
-        except ValueError:
-            return None
 
-    return ip.map(one)
+def v6_hex(ip: Column) -> Column:
+    """32 hexadecimal digits of an IPv6 address, else null. A zone after % doesn't count."""
+
+    def with_groups(text: Column) -> Column:
+        last = F.substring_index(text, ":", -1)
+        number = v4_number(last)
+        tail = F.concat(F.hex(F.floor(number / 65536)), F.lit(":"), F.hex(F.pmod(number, F.lit(65536))))
+        return F.when(last.contains("."), F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(last)), tail)).otherwise(text)
+
+    def groups(half: Column) -> Column:
+        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def filled(halves: Column) -> Column:
+        left, right = groups(halves[0]), F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        zeros = 8 - F.size(left) - F.size(right)
+        fits = ((F.size(halves) == 1) & (zeros == 0)) | ((F.size(halves) == 2) & (zeros >= 1))
+        return F.when(fits, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right))
+
+    def digits(eight: Column) -> Column:
+        return F.when(F.forall(eight, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")), F.lower(F.array_join(F.transform(eight, lambda g: F.lpad(g, 4, "0")), "")))
+
+    found = _let(with_groups(F.substring_index(ip, "%", 1)), lambda t: _let(_let(F.split(t, "::"), filled), digits))
+    return F.when(ip.contains(":") & ~ip.rlike("%$|%.*%"), found)
 
 
 def is_ip(ip: Column) -> Column:
-    """Whether the text is an address; only texts with a colon meet Python."""
-    return F.coalesce(ip.rlike(V4), F.lit(False)) | F.coalesce(F.when(ip.contains(":"), v6_hex(F.when(ip.contains(":"), ip))).isNotNull(), F.lit(False))
+    return F.coalesce(ip.rlike(V4) | v6_hex(ip).isNotNull(), F.lit(False))
 
 
 def _ranges(names: list[str], version: int) -> list[tuple[int, int]]:
@@ -83,23 +98,22 @@ def network_rows(rows: list[tuple]) -> list[tuple]:
     return found
 
 
-def longest_prefix(addresses: DataFrame, ip: str, networks: DataFrame, values: list[str], public_only: bool = False) -> DataFrame:
-    """``addresses`` with a struct ``match`` of ``values`` and prefix_len of the longest network that
-    holds the address, null where none does (with ``public_only``, for private addresses too).
+def longest_prefixes(addresses: DataFrame, ip: str, networks: DataFrame, tables: dict[str, list[str]], public_only: tuple[str, ...] = ()) -> DataFrame:
+    """(ip, a struct for each of ``tables``): of each distinct address the values and prefix_len of
+    the longest network of each table that holds it, null where none does (for tables in
+    ``public_only`` for addresses without a place too).
 
-    ``networks`` (version, network, prefix_len, ...) is a dimension table. Each distinct address is
-    masked to each of the prefix lengths in use (at most 33 and 129), so the lookup is an equi join;
-    Spark broadcasts the table while it is small and shuffles by key beyond that.
+    ``networks`` (table, version, network, prefix_len, ...) has the rows of all tables, which are
+    dimensions. Each distinct address is masked once to each of the prefix lengths in use (162 at
+    most), so all lookups are one equi join; Spark broadcasts ``networks`` while it is small and
+    shuffles by key beyond that.
     """
     distinct = addresses.select(ip).where(F.col(ip).isNotNull()).distinct()
-    number = v4_number(F.col(ip))
-    keyed = distinct.withColumn("_v4", number).withColumn("_v6", F.when(F.col(ip).contains(":"), v6_hex(F.when(F.col(ip).contains(":"), F.col(ip)))))
-    keyed = keyed.withColumn("version", F.when(F.col("_v4").isNotNull(), 4).when(F.col("_v6").isNotNull(), 6))
-    if public_only:
-        hidden = F.coalesce(is_private(F.col("_v4")), F.lit(False)) | F.coalesce(is_private_v6(F.col("_v6")), F.lit(False))
-        keyed = keyed.where(~hidden)
-    lengths = networks.select(F.col("version"), "prefix_len").distinct()
-    masked = keyed.where("version is not null").join(lengths, "version")
+    keyed = distinct.withColumns({"_v4": v4_number(F.col(ip)), "_v6": v6_hex(F.col(ip))})
+    hidden = F.coalesce(is_private(F.col("_v4")), F.lit(False)) | F.coalesce(is_private_v6(F.col("_v6")), F.lit(False))
+    keyed = keyed.withColumns({"version": F.when(F.col("_v4").isNotNull(), 4).when(F.col("_v6").isNotNull(), 6), "_hidden": hidden})
+    lengths = networks.select("version", "prefix_len").distinct()
+    masked = keyed.where("version is not null").join(F.broadcast(lengths), "version")  # 33 lengths and 129 at most
     span = F.pow(F.lit(2.0), 32 - F.col("prefix_len")).cast("long")
     v4 = F.lpad(F.lower(F.hex(F.col("_v4") - F.pmod(F.col("_v4"), span))), 32, "0")
     digits = F.floor(F.col("prefix_len") / 4).cast("int")
@@ -107,7 +121,12 @@ def longest_prefix(addresses: DataFrame, ip: str, networks: DataFrame, values: l
     part = F.pow(F.lit(2.0), 4 - F.pmod("prefix_len", F.lit(4))).cast("long")
     edge = F.when(F.col("prefix_len") % 4 == 0, F.lit("")).otherwise(F.lower(F.hex(nibble - F.pmod(nibble, part))))
     v6 = F.rpad(F.concat(F.substring(F.col("_v6"), F.lit(1), digits), edge), 32, "0")
-    masked = masked.withColumn("network", F.when(F.col("version") == 4, v4).otherwise(v6))
+    masked = masked.withColumn("network", F.when(F.col("version") == 4, v4).otherwise(v6)).select(ip, "_hidden", "version", "network", "prefix_len")
     found = masked.join(networks, ["version", "network", "prefix_len"])
-    best = found.groupBy(ip).agg(F.max_by(F.struct(*values, "prefix_len"), "prefix_len").alias("match"))
-    return addresses.join(best, ip, "left")
+
+    def longest(name: str, values: list[str]) -> Column:
+        held = F.col("table") == name
+        held = held & ~F.col("_hidden") if name in public_only else held
+        return F.max_by(F.when(held, F.struct(*values, "prefix_len")), F.when(held, F.col("prefix_len"))).alias(name)
+
+    return found.groupBy(ip).agg(*(longest(name, values) for name, values in tables.items()))

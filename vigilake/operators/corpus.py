@@ -81,11 +81,32 @@ class Report:
     matrix: DataFrame
     misses: DataFrame
     benign_alerts: DataFrame
+    cases: tuple[Case, ...] = ()
+    untested: DataFrame | None = None
 
     @property
     def passed(self) -> bool:
         return not self.misses.head(1) and not self.benign_alerts.head(1)
 
+    def overall(self, spark: SparkSession) -> DataFrame:
+        """One row over all rules, its rates by the benign cases and their lines."""
+        benign = [c for c in self.cases if c.label == "benign"]
+        lines = sum(len(c.lines) for c in benign)
+        for c in benign:
+            if c.scenario:
+                lines += SCENARIOS[c.scenario][1](spark, "2024-03-01 10:00:00").count()
+        return EF.micro(self.matrix, len(benign), self.benign_alerts.select("case_id").distinct().count(), lines)
+
+    def document(self, spark: SparkSession) -> dict:
+        """The report as a JSON document: a row per rule, the sums, what was missed, benign alerts and
+        rules that no case tries. It is as long as the rules and cases are many."""
+        rows = lambda df, *by: [r.asDict() for r in df.orderBy(*by).collect()]
+        return {
+            "cases": len(self.cases), "attack_cases": sum(c.label == "attack" for c in self.cases), "benign_cases": sum(c.label == "benign" for c in self.cases),
+            "passed": self.passed, "overall": self.overall(spark).head().asDict(), "rules": rows(self.matrix, "rule_id"), "misses": rows(self.misses, "case_id", "rule_id"),
+            "benign_alerts": rows(self.benign_alerts, "case_id", "rule_id"), "untested": [r["rule_id"] for r in self.untested.orderBy("rule_id").collect()] if self.untested is not None else [],
+        }
+
 
 def evaluate(spark: SparkSession, cases: list[Case], rules: list[Rule], correlations: list[Correlation], enrich=lambda e: e) -> Report:
     """Rules against cases: a confusion row per rule, expectations missed, and alerts on benign cases."""
@@ -95,4 +116,6 @@ def evaluate(spark: SparkSession, cases: list[Case], rules: list[Rule], correlat
     expected = spark.createDataFrame([(c.name, r) for c in cases for r in c.expects], "case_id string, rule_id string")
     known = spark.createDataFrame([(r.id,) for r in [*rules, *correlations, TRAVEL]], "rule_id string")
     benign = fired.join(frame.where("label = 'benign'"), "case_id", "left_semi")
-    return Report(EF.metrics(EF.confusion(frame.select("case_id"), known, expected, fired)), EF.misses(expected, fired), benign)
+    matrix = EF.metrics(EF.confusion(frame.select("case_id"), known, expected, fired))
+    feeders = spark.createDataFrame([(r,) for c in correlations for r in c.rules], "rule_id string")
+    return Report(matrix, EF.misses(expected, fired), benign, tuple(cases), EF.untested(known, expected, matrix, feeders))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The states of an alert.
@@ -27,6 +29,48 @@ def check_status(status: str) -> str:
     return status
 
 
+#: What an analyst may do to an alert: the kinds of the log, but for ``seen``.
+ACTIONS = ("status", "assign", "note", "incident")
+LOG_DDL = "uid string, kind string, payload string, actor string, at timestamp, seq bigint"
+
+
+def append_actions(spark: SparkSession, path: str, kind: str, uids: list[str], payload: str, actor: str, at: datetime.datetime | None = None) -> None:
+    """Adds one action on each of some alerts to the log; ValueError for an unknown kind or status."""
+    if kind not in ACTIONS:
+        raise ValueError(f"unknown action {kind!r}")
+    if kind == "status":
+        check_status(payload)
+    at = at or datetime.datetime.now(datetime.timezone.utc)
+    rows = [(uid, kind, payload, actor, at, int(at.timestamp() * 1_000_000)) for uid in uids]
+    spark.createDataFrame(rows, LOG_DDL).write.mode("append").parquet(path)
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """The log of actions; one that isn't there is empty."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], LOG_DDL)
+    return spark.read.schema(LOG_DDL).parquet(path)
+
+
+def group_into_incident(spark: SparkSession, path: str, alerts: DataFrame, incident: str, actor: str, at: datetime.datetime) -> None:
+    """Puts all of ``alerts`` (uid) into one incident, however many there are."""
+    rows = alerts.select(*action(F.col("uid"), "incident", F.lit(incident), F.lit(actor), F.lit(at).cast("timestamp")), F.lit(int(at.timestamp() * 1_000_000)).alias("seq"))
+    rows.write.mode("append").parquet(path)
+
+
+def triaged(alerts: DataFrame, actions: DataFrame, status: str | None = None, open_only: bool = False, incident: str | None = None) -> DataFrame:
+    """Alerts of a store with uid, status, assignee and incident, of one status, open or of one
+    incident where asked for. Alerts that nobody has acted on are new."""
+    known = alerts.withColumn("uid", alert_uid(F.col("rule_id"), F.col("group_value"), F.col("timestamp")))
+    held = known.join(current(actions).select("uid", "status", "assignee", "incident"), "uid", "left").withColumn("status", F.coalesce("status", F.lit("new")))
+    if status is not None:
+        held = held.where(F.col("status") == check_status(status))
+    if open_only:
+        held = held.where(~F.col("status").isin(*CLOSED))
+    return held if incident is None else held.where(F.col("incident") == incident)
+
+
 def current(actions: DataFrame, at: str = "at", seq: str = "seq") -> DataFrame:
     """uid, status, assignee, incident, first_seen, last_updated, closed_at: per alert the last
     action of each kind. Logs of any length per alert fold map-side."""

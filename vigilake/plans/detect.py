@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass, field as default
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durations import micros
 from ..operators.correlation import impossible_travel, ordered_chain, unordered_chain
+from ..operators.enrichment import enrich_alert
+from ..operators.risk import entity_scores, notables, severity_score
 from ..operators.windows import dedup, threshold_evidence
 from ..schema import field
 from .rules import Correlation, Rule, suppressed_ids
@@ -121,28 +125,102 @@ def travel_alerts(events: DataFrame, detector: Correlation = TRAVEL) -> DataFram
     """Impossible travel over enriched events."""
     events = events if "scope" in events.columns else events.withColumn("scope", F.lit(None).cast("string"))
     record = F.struct(*(F.col(f"`{c}`") for c in events.columns if c != "scope"))
-    logins = events.where((F.col("event.category") == "authentication") & (F.col("event.outcome") == "success")).select(
-        F.struct(F.coalesce("scope", F.lit("")).alias("scope"), F.col("user.name").alias("name")).alias("user"),
-        F.when(F.col("user.name").isNotNull(), F.col("source.geo.country_iso_code")).alias("country"),
-        F.col("`@timestamp`").alias("ts"), F.struct(F.col("ingest_seq"), F.to_json(record).alias("event")).alias("seq"), "scope",
-    )
+    who = F.struct(F.coalesce("scope", F.lit("")).alias("scope"), F.col("user.name").alias("name")).alias("user")
+    mine = events.where((F.col("event.category") == "authentication") & (F.col("event.outcome") == "success"))
+    logins = mine.select(
+        who, F.when(F.col("user.name").isNotNull(), F.col("source.geo.country_iso_code")).alias("country"), F.col("`@timestamp`").alias("ts"), F.col("ingest_seq").alias("seq")
+    )
     found = impossible_travel(logins, micros(detector.timespan))
-    kind = events.select(record.alias("e")).schema["e"].dataType
-    pair = F.array(*(F.from_json(f"seq_{k}.event", kind) for k in (1, 2)))
+    for k in (1, 2):  # the two events come back by their place, so that no event is carried through the window
+        own = mine.select(who, F.col("ingest_seq").alias(f"seq_{k}"), record.alias(f"_e{k}"))
+        found = found.join(own, ["user", f"seq_{k}"])
     scope = F.when(F.col("user.scope") != "", F.col("user.scope"))
-    return found.withColumn("events", pair).select(*_alert(
-        detector, scope=scope, timestamp=F.col("ts").cast("timestamp"), source=F.col("events")[1]["log"]["source"], group_value=F.col("user.name"),
-        match_count=F.lit(2).cast("long"), events=F.col("events"), seq=F.col("seq_2.ingest_seq"),
+    return found.select(*_alert(
+        detector, scope=scope, timestamp=F.col("ts").cast("timestamp"), source=F.col("_e2.log.source"), group_value=F.col("user.name"),
+        match_count=F.lit(2).cast("long"), events=F.array("_e1", "_e2"), seq=F.col("seq_2"),
     ))
 
 
-def detect(events: DataFrame, rules: list[Rule], correlations: list[Correlation], alert_window: str = "5m", travel: bool = True) -> DataFrame:
-    """Emitted alerts, before dedup: rules that no correlation silences, correlations, behaviour."""
+RISK_RULE = "risk-threshold-001"
+RISK_TYPE = "struct<score:bigint,threshold:int,object:string,signals:bigint,contributors:array<struct<rule_id:string,severity:string,score:bigint>>>"
+
+
+@dataclass(frozen=True)
+class Risk:
+    """How the risk of entities adds up: the window, the sum that makes one notable, the fields that
+    name entities, and rules with a score of their own."""
+
+    window: str = "24h"
+    threshold: int = 100
+    objects: tuple[str, ...] = ("source.ip", "user.name")
+    scores: dict[str, int] = default(default_factory=dict)
+
+
+def risk_scores(alerts: DataFrame, risk: Risk) -> DataFrame:
+    """A row (…, field, entity, share) for each entity that an alert's evidence names. Undated alerts
+    count as of now; alerts without a score, and notables, add nothing."""
+    own = F.lit(None).cast("long")
+    for rule, score in risk.scores.items():
+        own = F.when(F.col("rule_id") == rule, F.lit(score).cast("long")).otherwise(own)
+    rows = alerts.where(F.col("rule_id") != RISK_RULE).withColumns({
+        "score": severity_score(F.col("severity"), own), "timestamp": F.coalesce("timestamp", F.current_timestamp()), "_scope": F.coalesce("scope", F.lit("")),
+    })
+    values = {path: F.transform("events", _text_at(path)) for path in risk.objects}
+    return entity_scores(rows.where("score > 0"), values, "score", "group_value")
+
+
+def risk_alerts(alerts: DataFrame, risk: Risk) -> DataFrame:
+    """A notable for each entity whose best window reaches the threshold, with that window's alerts as
+    contributors and the union of their evidence (of one raw line once). Both are part of the record,
+    so an alert grows with its window, and with nothing else."""
+    keys = ["_scope", "field", "entity"]
+    scores = risk_scores(alerts, risk).select("scope", *keys, "rule_id", F.col("severity").alias("level"), "timestamp", "seq", "share", "events")
+    best = notables(scores, keys, "timestamp", "seq", micros(risk.window), risk.threshold)
+    inside = scores.join(best, keys).where(F.col("timestamp").between(F.col("window_start"), F.col("window_end")))
+    made = inside.groupBy(*keys).agg(
+        F.first("scope").alias("scope"), F.first("severity").alias("severity"), F.max("timestamp").alias("timestamp"), F.max("seq").alias("seq"), F.first("max_sum").alias("total"),
+        F.sort_array(F.collect_list(F.struct("timestamp", "seq", "rule_id", F.col("level").alias("severity"), F.col("share").alias("score")))).alias("parts"),
+    )
+    seen = inside.select(*keys, "timestamp", "seq", F.posexplode("events").alias("place", "event"))
+    line = F.coalesce("event.raw", F.concat(F.lit("#"), F.col("event.ingest_seq").cast("string")))
+    order = F.struct("timestamp", "seq", "place")
+    once = seen.groupBy(*keys, line.alias("line")).agg(F.min(order).alias("evidence_rank"), F.min_by("event", order).alias("event"))
+    evidence = once.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("evidence_rank", "event")), _in_order).alias("events"))
+    rows = made.join(evidence, keys)
+    n, rules = F.size("parts"), F.array_join(F.array_sort(F.array_distinct(F.transform("parts", lambda p: p["rule_id"]))), ", ")
+    says = F.format_string(f"%d signal(s) accumulated risk %d (threshold {risk.threshold}) on %s=%s: %s", n, "total", "field", "entity", rules)
+    listed = F.transform("parts", lambda p: F.struct(p["rule_id"].alias("rule_id"), p["severity"].alias("severity"), p["score"].alias("score")))
+    record = F.struct(F.col("total").alias("score"), F.lit(risk.threshold).alias("threshold"), F.col("field").alias("object"), n.cast("long").alias("signals"), listed.alias("contributors"))
+    return rows.select(
+        "scope", F.lit(RISK_RULE).alias("rule_id"), F.concat(F.lit("Elevated risk: "), "entity").alias("rule_title"), "severity", "timestamp", F.lit("risk").alias("source"),
+        F.col("entity").alias("group_value"), says.alias("description"), n.cast("long").alias("match_count"), F.transform("events", lambda x: x["event"]).alias("events"), "seq",
+        record.cast(RISK_TYPE).alias("risk"),
+    )
+
+
+def _text_at(path: str) -> Callable[[Column], Column]:
+    def text(event: Column) -> Column:
+        value = _get(event, path).cast("string")
+        return F.when(value != "", value)
+
+    return text
+
+
+def _in_order(x: Column, y: Column) -> Column:
+    a, b = x["evidence_rank"], y["evidence_rank"]
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+def detect(events: DataFrame, rules: list[Rule], correlations: list[Correlation], alert_window: str = "5m", travel: bool = True, risk: Risk | None = None) -> DataFrame:
+    """Emitted alerts, before dedup: rules that no correlation silences, correlations, behaviour and, if
+    asked for, notables of risk; each with its enrichment, drawn from the evidence."""
     fired = rule_alerts(events, rules, alert_window)
     out = fired.where(~F.col("rule_id").isin(sorted(suppressed_ids(correlations)))) if suppressed_ids(correlations) else fired
     if (linked := correlation_alerts(fired, correlations)) is not None:
         out = out.unionByName(linked)
-    return out.unionByName(travel_alerts(events)) if travel else out
+    out = out.unionByName(travel_alerts(events)) if travel else out
+    told = out.withColumn("risk", F.lit(None).cast(RISK_TYPE))
+    return enrich_alert(told.unionByName(risk_alerts(out, risk)) if risk else told)
 
 
 def deduplicated(alerts: DataFrame, window: str = "5m") -> DataFrame:

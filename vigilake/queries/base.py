@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import event_columns
 
 #: Networks of the derived addresses: the same list in Spark and in SQL.
-NETS = ("10.0.0", "172.19.4", "45.155.205", "185.220.101", "102.89.3")
+NETS = ("10.0.0", "172.22.4", "61.4.88", "77.30.11", "130.44.3")
 SEVERITIES = {"error": "critical", "purchase": "high", "signup": "medium", "click": "low", "view": "informational"}
 
 

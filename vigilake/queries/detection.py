@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from ..operators import risk as R
 from ..operators.correlation import impossible_travel, ordered_chain, unordered_chain
 from ..operators.windows import dedup, max_window_sum, threshold, threshold_evidence
 from ..plans.condition import compile_selection, parse_condition
-from ..plans.detect import rule_alerts
+from ..plans.detect import Risk, risk_alerts, rule_alerts
 from ..plans.rules import Correlation, Rule, logsource_predicate, suppressed_ids
 from ..schema import ecs_json
+from ..session import shared_dir
+from ..sources.sinks import append_alerts, read_alerts
 from .base import EV, Registry, flat_events, normalized_events, ntz
 
 reg = Registry()
@@ -179,26 +183,29 @@ _BEST = f"""{_SCORED}, cu AS (SELECT usr, ts, seq, score, sum(score) OVER w AS c
     best AS (SELECT usr, CAST(s AS BIGINT) AS max_sum, t0 AS window_start, ts AS window_end, rn - rn0 + 1 AS signals FROM wi QUALIFY row_number() OVER (PARTITION BY usr ORDER BY s DESC, rn) = 1)"""
 reg.add("risk_scores", lambda s, d: scored(s, d).select("seq", "score"), f"WITH {_SCORED} SELECT seq, CAST(score AS BIGINT) AS score FROM sc")
 reg.add("risk_max_window", lambda s, d: ntz(max_window_sum(scored(s, d), ["usr"], "ts", "seq", "score", DAY), "window_start", "window_end"), f"WITH {_BEST} SELECT * FROM best")
-reg.add("risk_notables", lambda s, d: ntz(R.notables(scored(s, d), ["usr"], "ts", "seq", DAY, 300, "score"), "window_start", "window_end"),
-        f"WITH {_BEST} SELECT *, CASE WHEN max_sum >= 600 THEN 'critical' ELSE 'high' END AS severity FROM best WHERE max_sum >= 300")
-_BOARD = lambda s, d: R.leaderboard(scored(s, d), ["usr"], "ts", "seq", DAY, 300, 10, "score")
-reg.add("risk_leaderboard", lambda s, d: ntz(_BOARD(s, d), "window_start", "window_end"), f"WITH {_BEST} SELECT *, max_sum >= 300 AS over_threshold FROM best ORDER BY max_sum DESC, usr LIMIT 10")
 reg.add("topk_risk", lambda s, d: scored(s, d).groupBy("usr").agg(F.sum("score").alias("total")).orderBy(F.desc("total"), "usr").limit(5),
         f"WITH {_SCORED} SELECT usr, CAST(sum(score) AS BIGINT) AS total FROM sc GROUP BY usr ORDER BY total DESC, usr LIMIT 5")
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alert per host and hour over its events; its score is shared among addresses and users."""
     e = scored(spark, sf_dir).withColumn("hour", F.date_trunc("hour", F.col("ts")))
     alerts = e.groupBy("host", "hour").agg(F.max("score").alias("score"), F.collect_set("ip").alias("ips"), F.collect_set("usr").alias("users"))
-    out = R.entity_scores(alerts, {"source.ip": F.col("ips"), "user.name": F.col("users")})
-    return out.groupBy("field", "entity").agg(F.sum("share").alias("total"), F.count("*").alias("n"))
+    return R.entity_scores(alerts, {"source.ip": F.col("ips"), "user.name": F.col("users")})
 
 
-reg.add("risk_entities", _entities, f"""
-    WITH {_SCORED}, al AS (SELECT host, date_trunc('hour', ts) AS h, max(score) AS score, list(DISTINCT ip) AS ips, list(DISTINCT usr) AS users FROM sc GROUP BY ALL),
-    x AS (SELECT 'source.ip' AS field, unnest(ips) AS entity, greatest(1, score // len(ips)) AS share FROM al UNION ALL SELECT 'user.name', unnest(users), greatest(1, score // len(users)) FROM al)
-    SELECT field, entity, CAST(sum(share) AS BIGINT) AS total, count(*) AS n FROM x GROUP BY ALL""")
+_ENTITIES = f"""{_SCORED}, al AS (SELECT host, date_trunc('hour', ts) AS h, max(score) AS score, list(DISTINCT ip) AS ips, list(DISTINCT usr) AS users FROM sc GROUP BY ALL),
+    x AS (SELECT 'source.ip' AS field, unnest(ips) AS entity, greatest(1, score // len(ips)) AS share, h, host FROM al UNION ALL SELECT 'user.name', unnest(users), greatest(1, score // len(users)), h, host FROM al)"""
+_WORST = f"""{_ENTITIES}, cu AS (SELECT field, entity, h, host, share, sum(share) OVER w AS cum, row_number() OVER w AS rn FROM x WINDOW w AS (PARTITION BY field, entity ORDER BY h, host ROWS UNBOUNDED PRECEDING)),
+    wi AS (SELECT *, cum - min(cum - share) OVER v AS s, min(rn) OVER v AS rn0, min(h) OVER v AS t0 FROM cu WINDOW v AS (PARTITION BY field, entity ORDER BY h RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)),
+    best AS (SELECT field, entity, CAST(s AS BIGINT) AS max_sum, t0 AS window_start, h AS window_end, rn - rn0 + 1 AS signals FROM wi QUALIFY row_number() OVER (PARTITION BY field, entity ORDER BY s DESC, rn) = 1)"""
+_KEYS = ["field", "entity"]
+reg.add("risk_entities", lambda s, d: _entity_rows(s, d).groupBy(*_KEYS).agg(F.sum("share").alias("total"), F.count("*").alias("n")),
+        f"WITH {_ENTITIES} SELECT field, entity, CAST(sum(share) AS BIGINT) AS total, count(*) AS n FROM x GROUP BY ALL")
+reg.add("risk_notables", lambda s, d: ntz(R.notables(_entity_rows(s, d), _KEYS, "hour", "host", DAY, 100), "window_start", "window_end"),
+        f"WITH {_WORST} SELECT *, CASE WHEN max_sum >= 200 THEN 'critical' ELSE 'high' END AS severity FROM best WHERE max_sum >= 100")
+reg.add("risk_leaderboard", lambda s, d: ntz(R.leaderboard(_entity_rows(s, d), _KEYS, "hour", "host", DAY, 100, 10), "window_start", "window_end"),
+        f"WITH {_WORST} SELECT *, max_sum >= 100 AS over_threshold FROM best ORDER BY max_sum DESC, field, entity LIMIT 10")
 
 
 # Predicates -----------------------------------------------------------------------------------
@@ -258,6 +265,22 @@ def _alerts(rules: list[Rule]):
 _ALERT_SQL = f"WITH {EV} SELECT 'r-' || action AS rule_id, severity, ts, CAST(1 AS BIGINT) AS match_count, seq FROM ev"
 reg.add("rule_per_event", _alerts(_RULES[:1]), _ALERT_SQL + " WHERE action = 'error'")
 reg.add("rules_multi", _alerts(_RULES), _ALERT_SQL)
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts written to a store, evidence and all, and read back."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    append_alerts(rule_alerts(normalized_events(spark, sf_dir), _RULES[:2]).drop("scope"), path)
+    x = read_alerts(spark, path)
+    return x.select("rule_id", "severity", F.col("timestamp").cast("timestamp_ntz").alias("ts"), "mode", F.col("events")[0]["ingest_seq"].alias("seq"), F.col("events")[0]["user"]["name"].alias("usr"))
+
+
+reg.add("read_alert_store", _stored, f"WITH {EV} SELECT 'r-' || action AS rule_id, severity, ts, 'simulation' AS mode, seq, usr FROM ev WHERE action IN ('error', 'purchase')")
+reg.add("risk_alerts", lambda s, d: risk_alerts(rule_alerts(normalized_events(s, d), _RULES[:2]), Risk(threshold=300)).select(
+            F.col("risk.object").alias("field"), F.col("group_value").alias("entity"), F.col("risk.score").alias("score"), "severity", "match_count", F.size("events").cast("long").alias("n_events"), F.aggregate("risk.contributors", F.lit(0).cast("long"), lambda t, c: t + c["score"]).alias("parts")),
+        f"""WITH {_SCORED}, x AS (SELECT 'source.ip' AS field, ip AS entity, ts, seq, score FROM sc WHERE action IN ('error', 'purchase') UNION ALL SELECT 'user.name', usr, ts, seq, score FROM sc WHERE action IN ('error', 'purchase')),
+    cu AS (SELECT *, sum(score) OVER w AS cum, row_number() OVER w AS rn FROM x WINDOW w AS (PARTITION BY field, entity ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+    wi AS (SELECT *, cum - min(cum - score) OVER v AS s, rn - min(rn) OVER v + 1 AS n FROM cu WINDOW v AS (PARTITION BY field, entity ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)),
+    best AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY field, entity ORDER BY s DESC, rn) = 1)
+    SELECT field, entity, CAST(s AS BIGINT) AS score, CASE WHEN s >= 600 THEN 'critical' ELSE 'high' END AS severity, n AS match_count, n AS n_events, CAST(s AS BIGINT) AS parts FROM best WHERE s >= 300""")
 reg.add("alerts_union", lambda s, d: ntz(firings(s, d).where("rule_id in ('brute', 'signup')").select("usr", "rule_id", "ts"), "ts"),
         f"WITH {_EVIDENCE_CTE} SELECT usr, 'brute' AS rule_id, ts FROM brute UNION ALL SELECT usr, 'signup', ts FROM ev WHERE action = 'signup'")
 reg.add("distinct_entities", lambda s, d: flat_events(s, d).select(F.explode(F.array(F.struct(F.lit("source.ip").alias("field"), F.col("ip").alias("value")), F.struct(F.lit("user.name").alias("field"), F.col("usr").alias("value")))).alias("x")).select("x.*").distinct(),

@@ -11,12 +11,12 @@ from .base import EV, Registry, flat_events
 
 reg = Registry()
 #: Small lookup tables in the shape of the files that ``sources.intel`` reads.
-BLOCKED = ["203.0.113.0/24", "198.51.100.66", "45.155.205.0/25", "102.89.3.128/26"]
+BLOCKED = ["151.9.40.0/24", "151.9.41.7", "61.4.88.0/25", "130.44.3.128/26"]
 PLACES = [
-    ("45.155.205.0/24", "RU", "Russia", 64501, "Example-RU-Bulletproof"), ("185.220.101.0/24", "DE", "Germany", 64502, "Example-DE-Tor-Exit"),
-    ("102.89.0.0/16", "NG", "Nigeria", 64503, "Example-NG-AS"), ("102.89.3.64/26", "ZA", "South Africa", 64504, "Example-ZA-AS"), ("10.0.0.0/8", "XX", "Nowhere", 64999, "Hidden"),
+    ("61.4.88.0/24", "RU", "Russia", 65121, "Taiga Hosting"), ("77.30.11.0/24", "DE", "Germany", 65122, "Rhein Relay"),
+    ("130.44.0.0/16", "NG", "Nigeria", 65123, "Lagoon Net"), ("130.44.3.64/26", "ZA", "South Africa", 65124, "Karoo Net"), ("10.0.0.0/8", "XX", "Nowhere", 65199, "Hidden"),
 ]
-ASSETS = [("10.0.0.0/24", "corp-workstations", True), ("172.19.0.0/16", "soc-lab-net", True), ("172.19.4.0/26", "quarantine", False)]
+ASSETS = [("10.0.0.0/24", "office-floor", True), ("172.22.0.0/16", "staging", True), ("172.22.4.0/26", "quarantine", False)]
 ROLES = {f"U{k}": role for k, role in enumerate(("admin", "developer", "standard", "auditor"))}
 
 
@@ -29,11 +29,11 @@ def _octet(ip: str, k: int) -> str:
 
 
 _D = f"{EV}, d AS (SELECT DISTINCT ip, usr, CAST(split_part(ip, '.', 4) AS INT) AS o4, split_part(ip, '.', 1) || '.' || split_part(ip, '.', 2) || '.' || split_part(ip, '.', 3) AS net FROM ev)"
-_IOC = "((net = '45.155.205' AND o4 < 128) OR (net = '102.89.3' AND o4 >= 128 AND o4 < 192))"
-_COUNTRY = "CASE WHEN net = '45.155.205' THEN 'RU' WHEN net = '185.220.101' THEN 'DE' WHEN net = '102.89.3' AND o4 >= 64 AND o4 < 128 THEN 'ZA' WHEN net = '102.89.3' THEN 'NG' END"
-_AS = "CASE WHEN net = '45.155.205' THEN 64501 WHEN net = '185.220.101' THEN 64502 WHEN net = '102.89.3' AND o4 >= 64 AND o4 < 128 THEN 64504 WHEN net = '102.89.3' THEN 64503 END"
-_ASSET = "CASE WHEN net = '10.0.0' THEN 'corp-workstations' WHEN net = '172.19.4' AND o4 < 64 THEN 'quarantine' WHEN net = '172.19.4' THEN 'soc-lab-net' END"
-_TRUST = "(net = '10.0.0' OR (net = '172.19.4' AND o4 >= 64))"
+_IOC = "((net = '61.4.88' AND o4 < 128) OR (net = '130.44.3' AND o4 >= 128 AND o4 < 192))"
+_COUNTRY = "CASE WHEN net = '61.4.88' THEN 'RU' WHEN net = '77.30.11' THEN 'DE' WHEN net = '130.44.3' AND o4 >= 64 AND o4 < 128 THEN 'ZA' WHEN net = '130.44.3' THEN 'NG' END"
+_AS = "CASE WHEN net = '61.4.88' THEN 65121 WHEN net = '77.30.11' THEN 65122 WHEN net = '130.44.3' AND o4 >= 64 AND o4 < 128 THEN 65124 WHEN net = '130.44.3' THEN 65123 END"
+_ASSET = "CASE WHEN net = '10.0.0' THEN 'office-floor' WHEN net = '172.22.4' AND o4 < 64 THEN 'quarantine' WHEN net = '172.22.4' THEN 'staging' END"
+_TRUST = "(net = '10.0.0' OR (net = '172.22.4' AND o4 >= 64))"
 _ROLE = "CASE usr WHEN 'u0' THEN 'admin' WHEN 'u1' THEN 'developer' WHEN 'u2' THEN 'standard' WHEN 'u3' THEN 'auditor' END"
 
 reg.add("ioc_match", lambda s, d: E.ioc_match(_distinct(s, d), "ip", E.blocklist_frame(s, BLOCKED)).select("ip", "usr", "ioc_matched"), f"WITH {_D} SELECT ip, usr, {_IOC} AS ioc_matched FROM d")
@@ -66,13 +66,14 @@ def _enriched_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .base import normalized_events
 
     e = E.enrich_events(normalized_events(spark, sf_dir).where("event.action = 'error'"), **_tables(spark))
-    record = F.struct("ingest_seq", "source", "user", "threat")
-    alerts = e.groupBy(F.col("user.name").alias("usr")).agg(F.sort_array(F.collect_list(record)).alias("events"))
+    # the first event with an address, else the first: folded map-side, however many a user has
+    record, order = F.struct("source", "user", "threat"), F.struct(F.col("source.ip").isNull(), "ingest_seq")
+    alerts = e.groupBy(F.col("user.name").alias("usr")).agg(F.array(F.min_by(record, order)).alias("events"))
     x = E.enrich_alert(alerts)
     return x.select("usr", *(F.col(f"enrichment.{c}").alias(c) for c in ("country", "as_org", "trusted", "asset", "role")), F.coalesce("enrichment.ioc", F.lit(False)).alias("ioc"))
 
 
-_ORG = _AS.replace("64501", "'Example-RU-Bulletproof'").replace("64502", "'Example-DE-Tor-Exit'").replace("64503", "'Example-NG-AS'").replace("64504", "'Example-ZA-AS'")
+_ORG = _AS.replace("65121", "'Taiga Hosting'").replace("65122", "'Rhein Relay'").replace("65123", "'Lagoon Net'").replace("65124", "'Karoo Net'")
 reg.add("enrich_alert", _enriched_alert, f"WITH {_D} SELECT usr, {_COUNTRY} AS country, {_ORG} AS as_org, {_TRUST} AS trusted, {_ASSET} AS asset, {_ROLE} AS role, {_IOC} AS ioc FROM d WHERE usr IN (SELECT usr FROM ev WHERE action = 'error')")
 
 reg.add("is_ip", lambda s, d: flat_events(s, d).select("usr", "ip").distinct().select(F.explode(F.array("usr", "ip", F.concat("ip", F.lit(".9")), F.concat(F.lit("300."), F.col("ip")))).alias("value")).distinct().withColumn("valid", is_ip(F.col("value"))),

@@ -146,17 +146,19 @@ def _values(*rows: str) -> str:
     return "SELECT a AS action, o AS outcome, i AS ip, CAST(n AS BIGINT) AS n, CAST('2024-03-01 ' || t AS TIMESTAMP) AS first_seen FROM (VALUES " + ", ".join(rows) + ") v(a, o, i, n, t)"
 
 
-_WEB = "('http_request', 'success', '203.0.113.7', 2, '10:00:00')"
+_WEB = "('http_request', 'success', '10.20.4.17', 2, '10:00:00')"
+_LOGIN = "('ssh_login_success', 'success', '10.20.4.17', 1, '09:59:45')"
+_GUESSES = "('ssh_login_failed', 'failure', '61.4.88.140', 9, '10:00:00')"
 for _name, _rows in {
-    "ssh-bruteforce": ["('ssh_login_success', 'success', '10.0.0.8', 1, '09:59:40')", "('ssh_login_failed', 'failure', '192.0.2.66', 8, '10:00:00')"],
-    "ssh-bruteforce-success": ["('ssh_login_success', 'success', '10.0.0.8', 1, '09:59:40')", "('ssh_login_failed', 'failure', '192.0.2.66', 8, '10:00:00')", "('ssh_login_success', 'success', '192.0.2.66', 1, '10:02:40')"],
+    "ssh-bruteforce": [_LOGIN, _GUESSES],
+    "ssh-bruteforce-success": [_LOGIN, _GUESSES, "('ssh_login_success', 'success', '61.4.88.140', 1, '10:02:15')"],
     "sudo-privesc": ["('sudo_command', 'success', NULL, 3, '10:00:00')"],
-    "web-shell": [_WEB, "('http_request', 'success', '198.51.100.23', 2, '10:00:03')"],
-    "dir-traversal": [_WEB, "('http_request', 'failure', '198.51.100.23', 1, '10:00:04')", "('http_request', 'success', '198.51.100.23', 1, '10:00:06')"],
-    "sqli": [_WEB, "('http_request', 'success', '198.51.100.23', 1, '10:00:04')", "('http_request', 'failure', '198.51.100.23', 1, '10:00:07')"],
-    "port-scan": ["('network_connection', NULL, '10.0.0.20', 1, '10:00:00')", "('network_connection', NULL, '198.51.100.77', 20, '10:00:00')"],
+    "web-shell": [_WEB, "('http_request', 'success', '77.30.11.52', 2, '10:00:05')"],
+    "dir-traversal": [_WEB, "('http_request', 'failure', '77.30.11.52', 1, '10:00:05')", "('http_request', 'success', '77.30.11.52', 1, '10:00:09')"],
+    "sqli": [_WEB, "('http_request', 'success', '77.30.11.52', 1, '10:00:05')", "('http_request', 'failure', '77.30.11.52', 1, '10:00:10')"],
+    "port-scan": ["('network_connection', NULL, '10.20.4.17', 1, '10:00:00')", "('network_connection', NULL, '130.44.9.31', 24, '10:00:00')"],
     "log-tampering": ["('process_create', 'success', NULL, 2, '10:00:00')"],
-    "firewall-port-scan": ["('network_connection', 'success', '10.0.0.20', 1, '10:00:00')", "('network_connection', 'failure', '45.155.205.7', 20, '10:00:00')"],
+    "firewall-port-scan": ["('network_connection', 'success', '10.20.4.17', 1, '10:00:00')", "('network_connection', 'failure', '130.44.9.31', 24, '10:00:00')"],
 }.items():
     reg.add("scenario_" + _name.replace("-", "_"), _scenario(_name), _values(*_rows))
 

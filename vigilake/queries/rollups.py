@@ -135,9 +135,24 @@ _EFF = "cs AS (SELECT l.doc_id AS case_id, l.toxic, d.text FROM labels l JOIN do
     pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r FROM mx)"""
 reg.add("efficacy_confusion", lambda s, d: EF.confusion(*_cases(s, d)), f"WITH {_EFF} SELECT * FROM mx")
 reg.add("efficacy_metrics", lambda s, d: EF.metrics(EF.confusion(*_cases(s, d))), f"WITH {_EFF} SELECT rule_id, tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 4) AS f1 FROM pr")
-reg.add("efficacy_micro", lambda s, d: EF.micro(EF.confusion(*_cases(s, d)), 40, 10, 4000), f"""
-    WITH {_EFF}, t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tp) / nullif(sum(tp) + sum(fp), 0) AS p, sum(tp) / nullif(sum(tp) + sum(fn), 0) AS r FROM mx)
-    SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1, 0.25 AS benign_fp_rate, round(fp * 1000 / 4000, 4) AS fp_per_1k FROM t""")
+
+
+def _micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents that aren't toxic are the benign cases; their alerts and lines are counted."""
+    cases, rules, expected, fired = _cases(spark, sf_dir)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    benign = docs.join(labels.where("toxic = 0").select("doc_id"), "doc_id")
+    n = benign.agg(F.count("*").alias("cases"), F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("lines")).head()
+    alerts = fired.join(benign.select(F.col("doc_id").alias("case_id")), "case_id", "left_semi").select("case_id").distinct().count()
+    return EF.micro(EF.confusion(cases, rules, expected, fired), n["cases"], alerts, n["lines"])
+
+
+reg.add("efficacy_micro", _micro, f"""
+    WITH {_EFF}, t AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tp) / nullif(sum(tp) + sum(fp), 0) AS p, sum(tp) / nullif(sum(tp) + sum(fn), 0) AS r FROM mx),
+    b AS (SELECT count(*) AS cases, sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) AS lines FROM cs WHERE toxic = 0),
+    a AS (SELECT count(DISTINCT case_id) AS alerts FROM gr JOIN cs USING (case_id) WHERE cs.toxic = 0 AND f)
+    SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / (p + r), 4) AS f1,
+           round(alerts / cases, 4) AS benign_fp_rate, round(fp * 1000 / lines, 4) AS fp_per_1k FROM t, b, a""")
 reg.add("efficacy_misses", lambda s, d: EF.misses(*_cases(s, d)[2:]), f"WITH {_EFF} SELECT case_id, rule_id FROM gr WHERE e AND NOT f")
 
 

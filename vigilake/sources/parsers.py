@@ -9,33 +9,32 @@ from pyspark.sql import functions as F
 
 from ..schema import event_columns
 
-#: Line formats. Group numbers are used below.
-SYSLOG = r"^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\s+(\S+)\s+"
-AUTH_LINE = SYSLOG + r"([\w./-]+?)(?:\[(\d+)\])?:\s+(.*)$"
-SSH_FAILED = r"^Failed password for (?:invalid user )?(\S+) from (\S+) port (\d+)"
-SSH_ACCEPTED = r"^Accepted \S+ for (\S+) from (\S+) port (\d+)"
-SUDO = r"^\s*(\S+)\s*:.*?USER=(\S+)\s*;\s*COMMAND=(.*)$"
-ACCESS = r'^(\S+)\s+\S+\s+(\S+)\s+\[([^\]]+)\]\s+"([^"]*)"\s+(\d{3}|-)\s+(\d+|-)(?:\s+"([^"]*)"\s+"([^"]*)")?'
-FIREWALL_LINE = SYSLOG + r"\S+?:\s+(.*)$"
-VERDICT = r"(?i)\[(?:UFW|IPTABLES)?\s*(BLOCK|DROP|DENY|ALLOW|ACCEPT)\]"
-PAIR = r"(\w+)=(\S*)"
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
-BLOCKING, ALLOWING = ("BLOCK", "DROP", "DENY"), ("ALLOW", "ACCEPT")
+#: The verdicts that firewalls log, and what they amount to.
+VERDICTS = {"BLOCK": "blocked", "DROP": "blocked", "DENY": "blocked", "ALLOW": "allowed", "ACCEPT": "allowed"}
 ENDPOINT_DDL = """EventID string, UtcTime string, Computer string, User string, ProcessId string, Image string, CommandLine string,
     ParentImage string, ParentCommandLine string, Protocol string, SourceIp string, SourcePort string, DestinationIp string, DestinationPort string"""
 
 
-def _group(text: Column, pattern: str, k: int) -> Column:
-    """Group k, or null where the pattern doesn't match or the group took no part."""
-    found = F.regexp_extract(text, pattern, k)
-    return F.when(found != "", found)
+def _given(text: Column) -> Column:
+    """The text, or null where it is empty."""
+    return F.when(text != "", text)
 
 
-def _syslog_time(line: Column, pattern: str, year: int) -> Column:
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(line, pattern, 1))
-    day, hour, minute = (F.regexp_extract(line, pattern, k).try_cast("int") for k in (2, 3, 4))
-    second = F.regexp_extract(line, pattern, 5).try_cast("decimal(16,6)")
-    return F.when(month > 0, F.try_make_timestamp(F.lit(year), month.cast("int"), day, hour, minute, second))
+def _syslog_time(head: Column, year: int) -> Column:
+    """Of the first three words of a syslog line: month, day, clock."""
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.get(head, F.lit(0)))
+    clock = F.split(F.get(head, F.lit(2)), ":")
+    hour, minute = (F.get(clock, F.lit(k)).try_cast("int") for k in (0, 1))
+    second = F.get(clock, F.lit(2)).try_cast("decimal(16,6)")
+    return F.when(month > 0, F.try_make_timestamp(F.lit(year), month.cast("int"), F.get(head, F.lit(1)).try_cast("int"), hour, minute, second))
+
+
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with columns that are computed once a line. A filter on a plain column is pushed below
+    it, and with it a copy of its expression for each use; it stops at what a generator puts out."""
+    packed = F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("_once")
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns), packed).select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(f"_once.{k}").alias(k) for k in made))
 
 
 def _basename(path: Column) -> Column:
@@ -54,52 +53,77 @@ def _emit(lines: DataFrame, leaves: dict[str, Column], keep: Column, carry: tupl
 
 def parse_auth_log(lines: DataFrame, year: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """sshd logins and sudo commands; other lines are dropped. The year isn't in the line; a date that
-    the year lacks leaves the time null and keeps the event."""
-    line = F.col("value")
-    process, message = F.regexp_extract(line, AUTH_LINE, 7), F.regexp_extract(line, AUTH_LINE, 9)
-    ssh, sudo = process.startswith("sshd"), process.startswith("sudo")
-    failed, accepted, command = ssh & message.rlike(SSH_FAILED), ssh & message.rlike(SSH_ACCEPTED), sudo & message.rlike(SUDO)
-
-    def login(k: int) -> Column:
-        return F.when(failed, _group(message, SSH_FAILED, k)).when(accepted, _group(message, SSH_ACCEPTED, k))
-
+    the year lacks leaves the time null and keeps the event.
+
+    A line is cut once at its first colon before a blank, then each side into words."""
+    cut = _once(lines, _cut=F.split("value", r":\s+", 2))
+    message = F.get("_cut", F.lit(1))
+    rows = _once(cut, _head=F.split(F.get("_cut", F.lit(0)), r"\s+"), _message=message, _words=F.split(message, " "), _sudo=F.split(message, r"\bUSER=|\s*;\s*COMMAND=", 3))
+    tag, message = F.get("_head", F.lit(4)), F.col("_message")
+
+    def word(k: int | Column) -> Column:
+        return F.get("_words", F.lit(k) if isinstance(k, int) else k)
+
+    def login(at: Column | int) -> Column:
+        """Words from ``at`` on: user "from" address "port" number."""
+        return (word(at + 1) == "from") & (word(at + 3) == "port") & word(at + 4).rlike("^[0-9]") & (word(at) != "") & (word(at + 2) != "")
+
+    ssh, sudo = tag.startswith("sshd"), tag.startswith("sudo")
+    named = F.when((word(3) == "invalid") & (word(4) == "user") & (word(6) == "from"), 5).otherwise(3)
+    failed = ssh & (word(0) == "Failed") & (word(1) == "password") & (word(2) == "for") & login(named)
+    accepted = ssh & (word(0) == "Accepted") & (word(1) != "") & (word(2) == "for") & login(3)
+    at = F.when(failed, named).otherwise(3)
+    caller = F.trim(F.substring_index(F.get("_sudo", F.lit(0)), ":", 1))
+    target = F.get("_sudo", F.lit(1))
+    command = sudo & (F.size("_sudo") == 3) & F.get("_sudo", F.lit(0)).contains(":") & caller.rlike(r"^\S+$") & target.rlike(r"^\S+$")
+    logged = failed | accepted
     action = F.when(failed, "ssh_login_failed").when(accepted, "ssh_login_success").when(command, "sudo_command")
     leaves = _base(lines, "auth.log") | {
-        "@timestamp": _syslog_time(line, AUTH_LINE, year), "message": message, "host.name": _group(line, AUTH_LINE, 6),
+        "@timestamp": _syslog_time(F.col("_head"), year), "message": message, "host.name": F.get("_head", F.lit(3)),
         "event.category": F.lit("authentication"), "event.action": action, "event.outcome": F.when(failed, "failure").otherwise("success"),
-        "process.name": process, "process.pid": _group(line, AUTH_LINE, 8).try_cast("int"),
-        "user.name": F.coalesce(login(1), F.when(command, _group(message, SUDO, 1))), "source.ip": login(2), "source.port": login(3).try_cast("int"),
-        "sudo.target_user": F.when(command, _group(message, SUDO, 2)), "sudo.command": F.when(command, F.trim(F.regexp_extract(message, SUDO, 3))),
+        "process.name": F.substring_index(tag, "[", 1), "process.pid": F.when(tag.contains("["), F.substring_index(F.substring_index(tag, "[", -1), "]", 1)).try_cast("int"),
+        "user.name": F.when(logged, word(at)).when(command, caller), "source.ip": F.when(logged, word(at + 2)),
+        "source.port": F.when(logged, F.regexp_extract(word(at + 4), "^[0-9]+", 0)).try_cast("int"),
+        "sudo.target_user": F.when(command, target), "sudo.command": F.when(command, F.trim(F.get("_sudo", F.lit(2)))),
     }
-    return _emit(lines, leaves, line.rlike(AUTH_LINE) & action.isNotNull(), carry)
+    month, clock = F.get("_head", F.lit(0)), F.get("_head", F.lit(2))
+    syslog = (F.size("_head") == 5) & month.rlike("^[A-Z][a-z][a-z]$") & F.get("_head", F.lit(1)).rlike("^[0-9]{1,2}$") & clock.rlike("^[0-9]{2}(:[0-9]{2}){2}$")
+    return _emit(rows, leaves, syslog & action.isNotNull(), carry)
 
 
 def parse_access_log(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Combined web logs; lines of another shape are dropped."""
-    line = F.col("value")
-    request = F.regexp_extract(line, ACCESS, 4)
-    tokens = F.filter(F.split(request, r"\s+"), lambda x: x != "")
-    n = F.size(tokens)
+    """Combined web logs; lines of another shape are dropped.
+
+    A line is cut once at its quotes: client, request, codes, referrer, agent."""
+    part = [F.get("_cut", F.lit(k)) for k in range(6)]
+    rows = _once(
+        _once(lines, _cut=F.split("value", '"')),
+        _client=F.split(F.trim(F.substring_index(part[0], "[", 1)), r"\s+"), _when=F.substring_index(F.substring_index(part[0], "[", -1), "]", 1),
+        _request=part[1], _tokens=F.filter(F.split(part[1], r"\s+"), lambda x: x != ""), _codes=F.split(F.trim(part[2]), r"\s+"),
+    )
+    tokens, n = F.col("_tokens"), F.size("_tokens")
     last = F.try_element_at(tokens, F.lit(-1))
     versioned = (n >= 2) & last.startswith("HTTP/")
     url = F.array_join(F.slice(tokens, F.lit(2), F.greatest(n - F.when(versioned, 2).otherwise(1), F.lit(0))), " ")
-    status = F.regexp_extract(line, ACCESS, 5).try_cast("int")
-    user = _group(line, ACCESS, 2)
+    code, sent = F.get("_codes", F.lit(0)), F.get("_codes", F.lit(1))
+    status, user = code.try_cast("int"), F.get("_client", F.lit(2))
+    whole = F.size("_cut") >= 6
     leaves = _base(lines, "access.log") | {
-        "@timestamp": F.try_to_timestamp(F.regexp_extract(line, ACCESS, 3), F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "message": request,
+        "@timestamp": F.try_to_timestamp("_when", F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "message": F.col("_request"),
         "event.category": F.lit("web"), "event.action": F.lit("http_request"), "event.outcome": F.when(status >= 400, "failure").when(status.isNotNull(), "success"),
-        "source.ip": _group(line, ACCESS, 1), "user.name": F.when(user != "-", user),
+        "source.ip": F.get("_client", F.lit(0)), "user.name": F.when(user != "-", user),
         "http.version": F.when(versioned, F.substring_index(last, "/", -1)), "http.request.method": F.when(n >= 2, F.get(tokens, F.lit(0))),
-        "http.request.referrer": _group(line, ACCESS, 7), "http.response.status_code": status,
-        "http.response.bytes": F.regexp_extract(line, ACCESS, 6).try_cast("bigint"), "url.original": F.when((n >= 2) & (url != ""), url),
-        "user_agent.original": _group(line, ACCESS, 8),
+        "http.request.referrer": F.when(whole, _given(part[3])), "http.response.status_code": status,
+        "http.response.bytes": F.regexp_extract(sent, "^[0-9]+", 0).try_cast("bigint"), "url.original": F.when((n >= 2) & (url != ""), url),
+        "user_agent.original": F.when(whole, _given(part[5])),
     }
-    return _emit(lines, leaves, line.rlike(ACCESS), carry)
+    shaped = (F.size("_cut") >= 3) & (F.size("_client") == 3) & part[0].rlike(r"^\S.*\s\[[^\]]+\]\s+$") & code.rlike("^([0-9]{3}|-)$") & sent.rlike("^([0-9]|-)")
+    return _emit(rows, leaves, shaped, carry)
 
 
 def parse_endpoint(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """JSON lines of endpoint telemetry: process creations (1) and network connections (3)."""
-    rows = lines.withColumn("_j", F.from_json("value", ENDPOINT_DDL, {"mode": "PERMISSIVE"}))
+    rows = _once(lines, _j=F.from_json("value", ENDPOINT_DDL, {"mode": "PERMISSIVE"}))
 
     def j(name: str) -> Column:
         return F.when(F.col(f"_j.{name}") != "", F.col(f"_j.{name}"))
@@ -122,32 +146,38 @@ def parse_endpoint(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return _emit(rows, leaves, kind.isin(1, 3), carry)
 
 
+def _keyed(key: str) -> Callable[[Column], Column]:
+    return lambda pair: pair["k"] == key
+
+
 def parse_firewall(lines: DataFrame, year: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Netfilter records with a source address; of a repeated key the last value counts."""
-    line = F.col("value")
-    keys = F.transform(F.regexp_extract_all(line, F.lit(PAIR), F.lit(1)), lambda k: F.upper(k))
-    rows = lines.withColumn("_kv", F.arrays_zip(keys.alias("k"), F.regexp_extract_all(line, F.lit(PAIR), F.lit(2)).alias("v")))
+    words = F.split("value", r"\s+")
 
-    def value(key: str) -> Column:
-        found = F.try_element_at(F.filter("_kv", lambda x: x["k"] == key), F.lit(-1))["v"]
-        return F.when(found != "", found)
+    def pair(w: Column) -> Column:
+        return F.struct(F.upper(F.substring_index(w, "=", 1)).alias("k"), F.substring(w, F.locate("=", w) + 1, F.length(w)).alias("v"))
 
-    verdict = F.upper(F.regexp_extract(line, VERDICT, 1))
-    blocked, allowed = verdict.isin(*BLOCKING), verdict.isin(*ALLOWING)
-    action = F.when(blocked, "blocked").when(allowed, "allowed").otherwise("logged")
-    protocol = F.upper(value("PROTO"))
+    verdict = F.upper(F.regexp_extract("value", r"(?i)\[(?:[A-Z]+\s+)?(" + "|".join(VERDICTS) + r")\]", 1))
+    rows = _once(_once(lines, _words=words, _verdict=verdict), _kv=F.transform(F.filter("_words", lambda w: w.contains("=")), pair))
+    known = ("SRC", "DST", "SPT", "DPT", "PROTO", "IN")
+    rows = _once(rows, **{f"_{k}": _given(F.try_element_at(F.filter("_kv", _keyed(k)), F.lit(-1))["v"]) for k in known})
+    found = {k: F.col(f"_{k}") for k in known}
+    outcome = F.create_map(*(F.lit(x) for item in VERDICTS.items() for x in item))[F.col("_verdict")]
+    action, protocol = F.coalesce(outcome, F.lit("logged")), F.upper(found["PROTO"])
 
     def shown(c: Column) -> Column:
         return F.coalesce(c, F.lit("None"))
 
+    stamped = (F.size("_words") >= 6) & F.get("_words", F.lit(2)).rlike("^[0-9]{2}(:[0-9]{2}){2}$") & F.get("_words", F.lit(4)).endswith(":")
     leaves = _base(lines, "firewall") | {
-        "@timestamp": _syslog_time(line, FIREWALL_LINE, year), "host.name": _group(line, FIREWALL_LINE, 6),
-        "event.category": F.lit("network"), "event.action": F.lit("network_connection"), "event.outcome": F.when(blocked, "failure").when(allowed, "success"),
-        "message": F.concat(F.upper(action), F.lit(" "), shown(protocol), F.lit(" "), value("SRC"), F.lit(" -> "), shown(value("DST")), F.lit(":"), shown(value("DPT"))),
-        "source.ip": value("SRC"), "source.port": value("SPT").try_cast("int"), "destination.ip": value("DST"), "destination.port": value("DPT").try_cast("int"),
-        "network.protocol": protocol, "network.direction": F.when(value("IN").isNotNull(), "inbound"), "firewall.action": action,
+        "@timestamp": F.when(stamped, _syslog_time(F.col("_words"), year)), "host.name": F.when(stamped, F.get("_words", F.lit(3))),
+        "event.category": F.lit("network"), "event.action": F.lit("network_connection"),
+        "event.outcome": F.when(outcome == "blocked", "failure").when(outcome == "allowed", "success"),
+        "message": F.concat(F.upper(action), F.lit(" "), shown(protocol), F.lit(" "), found["SRC"], F.lit(" -> "), shown(found["DST"]), F.lit(":"), shown(found["DPT"])),
+        "source.ip": found["SRC"], "source.port": found["SPT"].try_cast("int"), "destination.ip": found["DST"], "destination.port": found["DPT"].try_cast("int"),
+        "network.protocol": protocol, "network.direction": F.when(found["IN"].isNotNull(), "inbound"), "firewall.action": action,
     }
-    return _emit(rows, leaves, value("SRC").isNotNull(), carry)
+    return _emit(rows, leaves, found["SRC"].isNotNull(), carry)
 
 
 PARSERS: dict[str, Callable[..., DataFrame]] = {

@@ -11,19 +11,31 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.rollups import SEVERITY_RANK, severity_gate
+from ..plans.detect import RISK_TYPE
+from ..schema import EVENT_SCHEMA
 
-STORE_DDL = """rule_id string, rule_title string, severity string, timestamp timestamp, last_seen timestamp, source string, group_value string,
-    mode string, occurrences bigint, match_count bigint, description string"""
-#: Push priorities and icons of severities.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+#: Push priorities of severities. The tags are our own.
 PRIORITY = {"low": "2", "medium": "3", "high": "4", "critical": "5"}
-ICON = {"low": "information_source", "medium": "warning", "high": "rotating_light", "critical": "skull"}
+ICON = {"low": "memo", "medium": "bell", "high": "fire", "critical": "sos"}
+
+
+def store_schema() -> T.StructType:
+    """The whole record of an alert, evidence included, so that pivots and risk run over a store as well."""
+    ddl = (
+        "rule_id string, rule_title string, severity string, timestamp timestamp, last_seen timestamp, source string, group_value string, mode string, occurrences bigint, "
+        "match_count bigint, description string, enrichment struct<ioc:boolean,country:string,as_org:string,trusted:boolean,asset:string,role:string>, "
+        f"risk {RISK_TYPE}, seq bigint"
+    )
+    return T.StructType.fromDDL(ddl).add("events", T.ArrayType(EVENT_SCHEMA))
 
 
 def append_alerts(alerts: DataFrame, path: str, reset: bool = False) -> None:
     """Adds alerts to a folder of JSON lines, or replaces what is there."""
-    alerts.write.mode("overwrite" if reset else "append").json(path)
+    alerts.write.mode("overwrite" if reset else "append").option("timestampFormat", STAMP).json(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +43,8 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     mode reads simulation."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], STORE_DDL)
-    rows = spark.read.schema(STORE_DDL).json(path, mode="DROPMALFORMED")
+        return spark.createDataFrame([], store_schema())
+    rows = spark.read.schema(store_schema()).option("timestampFormat", STAMP).json(path, mode="DROPMALFORMED")
     return rows.withColumn("mode", F.coalesce("mode", F.lit("simulation")))
 
 
@@ -75,13 +87,13 @@ class Push:
         text = f"{alert.get('rule_title')}: {alert.get('group_value') or '-'} ({alert.get('match_count')} events)"
         if self.style == "webhook":
             return json.dumps({"text": f"[{severity.upper()}] {text}"}).encode(), {"Content-Type": "application/json"}
-        return text.encode(), {"Title": header_text(str(alert.get("rule_title"))), "Priority": PRIORITY.get(severity, "3"), "Tags": ICON.get(severity, "warning")}
+        return text.encode(), {"Title": header_text(str(alert.get("rule_title"))), "Priority": PRIORITY.get(severity, "3"), "Tags": ICON.get(severity, "bell")}
 
-    def emit(self, alerts: DataFrame, limit: int = 100) -> int:
-        """Sends the alerts above the gate, ``limit`` of them at most at a time; failures are noted and
-        passed over. Returns how many were sent."""
+    def emit(self, alerts: DataFrame) -> int:
+        """Sends every alert above the gate, a partition at a time through the driver; failures are
+        noted and passed over. Returns how many were sent."""
         sent = 0
-        for row in severity_gate(alerts, self.least).select("rule_id", "rule_title", "severity", "group_value", "match_count").limit(limit).collect():
+        for row in severity_gate(alerts, self.least).select("rule_id", "rule_title", "severity", "group_value", "match_count").toLocalIterator():
             try:
                 self.post(self.url, *self.message(row.asDict()))
                 sent += 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..durations import parse_duration
-from ..plans.detect import TRAVEL, deduplicated, detect
+from ..plans.detect import TRAVEL, Risk, deduplicated, detect
 from ..plans.rules import Correlation, Rule
 from ..session import shared_dir
 
@@ -96,9 +96,9 @@ class LiveMonitor:
     """
 
     def __init__(self, spark: SparkSession, rules: list[Rule], correlations: list[Correlation], sinks: Iterable[Callable[[DataFrame], object]] = (),
-                 enrich: Callable[[DataFrame], DataFrame] = lambda e: e, alert_window: str = "5m", dedup_window: str = "5m"):
+                 enrich: Callable[[DataFrame], DataFrame] = lambda e: e, alert_window: str = "5m", dedup_window: str = "5m", risk: Risk | None = None):
         self.spark, self.rules, self.correlations, self.sinks, self.enrich = spark, rules, correlations, list(sinks), enrich
-        self.alert_window, self.dedup_window = alert_window, dedup_window
+        self.alert_window, self.dedup_window, self.risk = alert_window, dedup_window, risk
         self.horizon = horizon_seconds(rules, correlations, alert_window, dedup_window)
         self.base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
         self.buffer: DataFrame | None = None
@@ -111,6 +111,10 @@ class LiveMonitor:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _drop(self, name: str, batch: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}-{batch}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def trimmed(self, events: DataFrame) -> DataFrame:
         newest = events.agg(F.max("@timestamp").alias("_newest"))
         near = F.col("@timestamp").isNull() | (F.col("@timestamp") >= F.col("_newest") - F.expr(f"INTERVAL {self.horizon} SECONDS"))
@@ -121,9 +125,11 @@ class LiveMonitor:
         """Takes new events in, and returns (and hands to the sinks) the alerts not told before."""
         self.batches += 1
         whole = events if self.buffer is None else self.buffer.unionByName(events)
-        self.buffer = self._save(self.trimmed(whole), "buffer")
+        replaced, self.buffer = self.buffer, self._save(self.trimmed(whole), "buffer")
         self.counts["events"] += events.count()
-        found = deduplicated(detect(self.enrich(self.buffer), self.rules, self.correlations, self.alert_window), self.dedup_window)
+        if replaced is not None:
+            self._drop("buffer", self.batches - 1)
+        found = deduplicated(detect(self.enrich(self.buffer), self.rules, self.correlations, self.alert_window, risk=self.risk), self.dedup_window)
         found = found.withColumn("mode", F.lit("live")).withColumn("_key", F.concat_ws("|", "rule_id", F.coalesce("group_value", F.col("events")[0]["source"]["ip"], F.lit(""))))
         fresh = found
         if self.emitted is not None:
@@ -131,8 +137,11 @@ class LiveMonitor:
             quiet = F.expr(f"timestamp <= _last + INTERVAL {parse_duration(self.dedup_window)} SECONDS")
             fresh = found.join(last, "_key", "left").where(~F.coalesce(quiet, F.lit(False))).drop("_last")
         fresh = self._save(fresh, "fresh")
+        if self.batches > 1:
+            self._drop("fresh", self.batches - 1)
         told = fresh.select("_key", F.col("timestamp").alias("at"))
-        self.emitted = self._save(told if self.emitted is None else self.emitted.union(told), "emitted")
+        told.write.mode("append").parquet(f"{self.base}/emitted")
+        self.emitted = self.spark.read.schema(told.schema).parquet(f"{self.base}/emitted")
         out = fresh.drop("_key")
         self.counts["alerts"] += out.count()
         for sink in self.sinks:
