@@ -50,6 +50,23 @@ def test_exact_dedup(spark, odd, none):
     assert exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_of_null_ids(spark):
+    rows = spark.createDataFrame([(None, "same text"), (1, "same text"), (None, "same text"), (None, "other"), (1, "another")], "doc_id long, text string")
+    for whole in (True, False):
+        got = sorted((r["group_size"], r["kept"], str(r["doc_id"]), str(r["keep_id"])) for r in exact_dedup(rows, digest_all=whole).collect())
+        assert got == [(1, True, "1", "1"), (1, True, "None", "None"), (3, False, "None", "1"), (3, False, "None", "1"), (3, True, "1", "1")]
+    assert "Python" not in exact_dedup(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    model = fit_secret_model(labelled_findings(spark, 1500))
+    frame = spark.createDataFrame([(1, 'password = "9f8K2mQ7xW4zR1"', "c", "k", "p"), (2, None, "c2", "k2", "p2")], "doc_id long, text string, candidate string, _k string, path string")
+    frame = frame.withColumns({"before": F.lit("b"), "after": F.lit("a"), "_row": F.lit(5), "_head": F.lit(6), "source": F.lit("src")})
+    got = {r["doc_id"]: r for r in redact_secrets(frame, model).collect()}
+    assert "[SECRET]" in got[1]["text"] and got[2]["text"] is None
+    assert tuple(got[1])[2:] == ("c", "k", "p", "b", "a", 5, 6, "src")
+
+
 def test_components(spark):
     random.seed(3)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(100, k) for k in range(101, 130)]
@@ -112,6 +129,49 @@ def test_ngram_join(spark, odd, none, width, percent):
         assert jaccard_components(none).count() == 0
 
 
+def _roots(sets, percent):
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(sets))]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join_splits_crowds(spark, width, percent):
+    """Two crowds of copies that differ about as much as a link allows, with strays that share changes."""
+    random.seed(9)
+    texts = []
+    for k in range(2):
+        base = [f"c{k}w{random.randrange(500)}" for _ in range(110)]
+        for n in range(90):
+            own = list(base)
+            for _ in range(random.choice((0, 1, 1, 2, 3, 4, 6))):
+                at = random.randrange(11) * 10
+                own[at] = f"z{random.randrange(4)}" if n % 2 else f"n{n}"
+            texts.append(" ".join(own))
+    texts += [" ".join(f"r{random.randrange(10_000)}" for _ in range(100)) for _ in range(10)]
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=width, percent=percent).collect()
+    want = _roots([_shingles(t, width) for t in texts], percent)
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == want
+    assert len(set(want)) > 15 and max(want.count(x) for x in want) > 20
+
+
+def test_ngram_join_of_null_and_repeated_ids(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = spark.createDataFrame([(None, a), (None, b), (7, a), (7, b), (3, b)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in jaccard_components(rows).collect())
+    assert got == [("3", 3), ("7", 3), ("7", 7), ("None", 3), ("None", 7)]
+
+
 def test_boundary_follows_cost():
     assert choose_boundary({15: 100}, 0.5, 90) <= choose_boundary({15: 100}, 50.0, 90)
 
@@ -196,6 +256,37 @@ def test_line_shingles_against_brute_force(spark):
     assert removed == {k for k, r in enumerate(root) if r != k} and len(removed) > 60
 
 
+def test_line_dedup_splits_crowds(spark):
+    """A crowd of lines that differ about as much as a link allows: no link between components is lost."""
+    random.seed(4)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)]
+    lines = []
+    for n in range(120):
+        own = list(words)
+        for _ in range(random.choice((0, 1, 2, 3, 4, 6))):
+            own[random.randrange(40)] = random.choice(("changed", "another", "".join(random.choices("abcdefghij", k=7))))
+        lines.append(" ".join(own))
+    lines = list(dict.fromkeys(lines))
+    want = _roots([shingles(x) for x in lines], 80)
+    removed = {r["doc_id"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 1").collect()}
+    assert removed == {k for k, r in enumerate(want) if r != k} and len(set(want)) > 5
+    plan = dedup_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_line_dedup_of_odd_ids_and_names(spark):
+    line, own = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "something else altogether that nobody else has written"
+    rows = [(1, line, "a"), (2, line.replace("eta", "etas", 1), "b"), (2, own, "c"), (None, line, "d"), (None, "no copy of this stands anywhere at all", "e"), (3, "\n".join(f"{own} {k} {k * 7919}" * 3 for k in range(3)), "f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, masks string").withColumn("doc", F.lit("x")).withColumn("hash", F.lit(1)).withColumn("lines", F.lit(2)).withColumn("_kept", F.lit(3))
+    out = dedup_lines(frame)
+    assert out.columns == [*frame.columns, "n_lines", "n_removed"]
+    got = {r["masks"]: r for r in out.collect()}
+    assert got["d"]["text"] == line and got["a"]["text"] == "" and got["b"]["text"] == "" and got["c"]["text"] == own and got["e"]["n_removed"] == 0
+    assert got["a"]["doc"] == "x" and got["a"]["hash"] == 1 and got["a"]["lines"] == 2 and got["a"]["_kept"] == 3
+    many = "\n".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(150))
+    assert dedup_lines(spark.createDataFrame([(1, many), (2, many)], "doc_id long, text string")).select("n_removed").orderBy("n_removed").collect() == [(0,), (150,)]
+
+
 def test_line_band_recall_on_small_sets(spark):
     rng = np.random.default_rng(8)
     for union, shared in ((5, 4), (10, 8), (20, 16)):
@@ -284,8 +375,11 @@ def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(BYTE_BPE)
-    for text, ids in zip(ODD_TEXTS, UnitEncoder(BYTE_BPE).encode_texts(ODD_TEXTS), strict=True):
-        assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids
+    texts = [*ODD_TEXTS, "a\u3000b\u2003c\u00a0\u1680d\u2028e", "\u00a0", "x<|endoftext|>y <|endoftext|><|endoftext|>", "trail  ", "\u0085\u2009", "é\u00e2\u0080z"]
+    raw = [x.encode() for x in texts]
+    ids, at = UnitEncoder(BYTE_BPE, 8).encode_texts(np.frombuffer(b"".join(raw), "u1"), np.cumsum([len(x) for x in raw]))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == reference.encode(text, add_special_tokens=False).ids
     rows = pack_documents(odd, BYTE_BPE, 512).collect()
     long = sorted((r for r in rows if r["doc_id"] == 8), key=lambda r: r["piece"])
     assert all(r["length"] == 512 for r in long[1:]) and [r["start"] for r in long] == [0, *(long[0]["length"] + 512 * k for k in range(len(long) - 1))]
@@ -389,5 +483,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[SECRET]" in masked["text"] and masked["n_chars"] == len(masked["text"])
     one = C.keep_one_of_each_group(spark, frame.union(frame.where("doc_id = 1").withColumn("doc_id", F.lit(99).cast("long"))), folder)
     assert not one.where("doc_id = 99").count() and one.where("doc_id = 1").count() == 1
+    # rows with null and repeated ids, and columns of other names, in each stage
+    clash = frame.union(spark.createDataFrame([(None, docs[25][1], "en", "s", 1), (60, docs[26][1], "en", "s", 1), (None, docs[0][1], "en", "s", 1)], frame.schema)).withColumns({"row_key": F.lit(1), "masks": F.lit("m"), "candidate": F.lit("x")})
+    good = C.keep_good(spark, clash, folder)
+    assert good.columns == list(C.COLUMNS) and not good.where("text like 'BUY%'").count() and good.where("doc_id = 60").count() == 1
+    once = C.keep_one_of_each_group(spark, clash, folder)
+    assert once.where(F.col("text") == docs[0][1]).count() == 1 and once.where("doc_id is null").select("text").collect() == [(docs[0][1],)]
+    for stage in (C.keep_first_lines, C.mask_secrets):
+        assert stage(spark, clash, folder).columns == list(C.COLUMNS) and stage(spark, frame.limit(0), folder).count() == 0
+    assert C.keep_good(spark, frame.limit(0), folder).count() == C.keep_one_of_each_group(spark, frame.limit(0), folder).count() == 0
     out = C.run(spark, folder)
     assert out.where("doc_id between 1 and 24").select("doc_id").distinct().count() == 24

@@ -18,7 +18,8 @@ class Linker:
     """Components of the sets that link, sought within groups of candidates.
 
     ``members`` are (grp, key, size, rank), ``facts`` (key, size, ...) of each key, ``sets(keys)``
-    gives (key, elements), the distinct elements of whole sets; ``bound(x, y)`` is a lower bound of
+    gives (key, held), from which ``elements(held)`` makes the distinct elements of whole sets (what
+    is small is shuffled, and sets are made where pairs meet); ``bound(x, y)`` is a lower bound of
     the number of elements in which two sets differ, on the columns of ``facts`` with two prefixes.
     Two sets of one group link when intersection * 100 >= union * ``percent``.
 
@@ -42,9 +43,10 @@ class Linker:
         facts: DataFrame,
         bound: Callable[[str, str], Column],
         sets: Callable[[DataFrame], DataFrame],
+        elements: Callable[[Column], Column] = lambda held: held,
         rounds: int = 3,
     ):
-        self.stages, self.percent, self.facts, self.bound, self.sets, self.rounds = stages, percent, facts, bound, sets, rounds
+        self.stages, self.percent, self.facts, self.bound, self.sets, self.elements, self.rounds = stages, percent, facts, bound, sets, elements, rounds
         # near means within so many times the most that a link allows (some 4/3 of a set's size), far means beyond a little less
         self.shell = max(1 + -(-200 // percent), -(-4 * percent // (3 * (100 - percent)))) if percent < 100 else 3
         self.beyond = (self.shell - 1) * percent / 100
@@ -73,6 +75,7 @@ class Linker:
         keys = self.stages.save(near.select("key").union(near.select("c")).distinct(), f"keys_{name}")
         sets = self.stages.save(self.sets(keys), f"sets_{name}")
         both = self.at(self.at(near, sets, "key", "x_"), sets, "c", "y_")
+        both = both.withColumns({f"{p}elements": self.elements(F.col(f"{p}held")) for p in ("x_", "y_")})
         delta = F.concat(F.array_except("x_elements", "y_elements"), F.array_except("y_elements", "x_elements"))
         made = both.select("c", "key", "c_size", "size", delta.alias("delta")).where(F.size("delta") <= self.shell * self.most(F.col("size")))
         made = self.stages.save(made, f"deltas_{name}")
