@@ -84,6 +84,8 @@ class Linker:
 
     def links(self, members: DataFrame) -> DataFrame:
         """Pairs (a, b) that link, with the same components as all pairs that do."""
+        if members.isEmpty():
+            return members.select(F.col("key").alias("a"), F.col("key").alias("b"))
         links: DataFrame | None = None
         roots: DataFrame | None = None
         waiting = []
@@ -100,11 +102,14 @@ class Linker:
             roots = connected_components(stars, self.stages)
             left = self.stages.save(self._mixed(met, roots), f"left_{r}")
             waiting.append(left.where(F.col("n") <= CROWD).select("grp", "key", "size", F.lit(0).alias("e"), F.lit(1).cast("long").alias("q")))
-            again = self.regrouped(left.where(F.col("n") > CROWD), deltas, r)
+            self.stages.drop(met, pairs)
+            crowded = left.where(F.col("n") > CROWD)
+            if crowded.isEmpty():
+                break
+            again = self.regrouped(crowded, deltas, r)
             again = self.stages.save(self._mixed(self.stages.save(again, f"regrouped_{r}"), roots), f"members_{r}")
             waiting.append(again.where(F.col("n") <= CROWD).select("grp", "key", "size", "e", "q"))
             members = again.where(F.col("n") > CROWD).select("grp", "key", "size", "rank", "e", "q")
-            self.stages.drop(met, pairs)
             if members.isEmpty():
                 break
         else:
@@ -113,6 +118,8 @@ class Linker:
         for w in waiting[1:]:
             here = here.union(w)
         here = self.stages.save(self._mixed(here, roots), "last")
+        if here.isEmpty():
+            return links
         sides = [here.select("grp", *(F.col(c).alias(f"{p}_{c}") for c in ("key", "size", "comp", "e", "q"))) for p in "xy"]
         fit = F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * self.percent
         shared = F.col("x_e") + F.col("y_e") - (F.col("x_size") + F.col("y_size")) * self.per - 1e-6 <= 2 * F.least("x_q", "y_q")
