@@ -63,10 +63,12 @@ def stream_sessions(alerts: DataFrame, keys: list[str], gap: str, ts: str = "ts"
     return out.drop("session_window")
 
 
-def emission_gate(alerts: DataFrame, key: str, ts: str, window_us: int) -> DataFrame:
+def emission_gate(alerts: DataFrame, key: str, ts: str, window_us: int, late: str = "1 hour") -> DataFrame:
     """Alerts of a stream whose key hasn't been emitted within the window before (nor after: an alert
     older than the last emission is silent too). Emissions, not suppressed alerts, move the window.
-    State goes when nothing has come for the window in processing time."""
+
+    A key's state goes when the watermark (``late`` behind the newest alert) has passed its window: no
+    alert still to come could be silenced by it. Alerts later than that are dropped."""
     columns = alerts.columns
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -80,11 +82,11 @@ def emission_gate(alerts: DataFrame, key: str, ts: str, window_us: int) -> DataF
             keep.append(last is None or us - last > window_us)
             last = us if keep[-1] else last
         state.update((last,))
-        state.setTimeoutDuration(max(1000, 2 * window_us // 1000))
+        state.setTimeoutTimestamp(max((last + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[keep, columns]
 
-    rows = alerts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    return rows.groupBy(key).applyInPandasWithState(step, alerts.schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = alerts.withWatermark(ts, late).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return rows.groupBy(key).applyInPandasWithState(step, alerts.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class LiveMonitor:
