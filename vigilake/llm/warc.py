@@ -36,8 +36,9 @@ def page_urn(page_id) -> str:
 
 
 def urn_page(urn: str | None) -> int | None:
-    tail = urn.strip("<>").rpartition(":")[2] if urn else "null"
-    return None if tail == "null" else int(tail)
+    """The page of one of our own record ids; null for ids of other archives."""
+    found = re.fullmatch(r"<?urn:x-page:(-?\d+)>?", urn or "")
+    return int(found[1]) if found else None
 
 
 def one_line(text: str) -> str:
@@ -190,7 +191,7 @@ def write_packages(
 
 
 def read_index(packages: DataFrame) -> DataFrame:
-    """(path, start, length) of every record that the packages' own indexes name."""
+    """(path, start, length) of every record that the packages' own indexes (plain or gzip) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +203,10 @@ def read_index(packages: DataFrame) -> DataFrame:
                         continue
                     data = read_at(at, n)
                     found = {"start": [], "length": []}
-                    for line in io.BytesIO(zlib.decompress(data, -15) if method else data):
+                    data = zlib.decompress(data, -15) if method else data
+                    for line in io.BytesIO(gzip.decompress(data) if name.endswith(".gz") else data):
+                        if line[:1] == b"!" or b"{" not in line:  # a header of the index, or nothing
+                            continue
                         place = json.loads(line[line.index(b"{") :])
                         inner, base, _ = members["archive/" + place["filename"]]
                         if inner != zipfile.ZIP_STORED:
@@ -219,22 +223,28 @@ def read_index(packages: DataFrame) -> DataFrame:
 
 def read_records(places: DataFrame, range_bytes: int = 8_000_000) -> DataFrame:
     """One row per record, read by range: page_id, url, record_type, refers_to, payload_bytes,
-    payload_digest, payload (null for revisits, which hold none). Places near each other in a
-    package go to one task."""
-    near = places.repartition("path", F.floor(F.col("start") / range_bytes)).sortWithinPartitions("path", "start")
+    payload_digest, payload (null for revisits, which hold none). Page ids are null for records of other
+    archives; where a length or digest isn't said, the payload's own is given. Places near each other in
+    a package go to one task, and there are as many tasks as the records' bytes ask for."""
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    tasks = max(1, -(-total // range_bytes))
+    near = places.repartition(tasks, "path", F.floor(F.col("start") / range_bytes)).sortWithinPartitions("path", "start")
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def record(data: bytes) -> dict:
         headers, block = parse_record(data)
-        http, _, payload = block.partition(b"\r\n\r\n")
-        length = int(re.search(rb"(?i)content-length:\s*(\d+)", http)[1])
-        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-        kind = headers["warc-type"]
-        if kind == "response" and (len(payload) != length or sha1_base32(payload) != digest):
-            raise ValueError(f"broken payload of {headers['warc-record-id']}")
+        kind = headers.get("warc-type", "")
+        http, _, payload = block.partition(b"\r\n\r\n") if "http" in headers.get("content-type", "") else (b"", b"", block)
+        said = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        length = int(said[1]) if said else len(payload)
+        named, _, digest = headers.get("warc-payload-digest", "").rpartition(":")
+        own = sha1_base32(payload) if kind == "response" or not digest else ""
+        if kind == "response" and digest and named in ("", "sha1") and (len(payload) != length or own != digest):
+            raise ValueError(f"broken payload of {headers.get('warc-record-id')}")
+        digest = digest or own
         return {
-            "page_id": urn_page(headers["warc-record-id"]), "url": headers.get("warc-target-uri", ""), "record_type": kind,
+            "page_id": urn_page(headers.get("warc-record-id")), "url": headers.get("warc-target-uri", ""), "record_type": kind,
             "refers_to": urn_page(headers.get("warc-refers-to")), "payload_bytes": length, "payload_digest": digest,
             "payload": payload if kind == "response" else None,
         }
@@ -262,5 +272,5 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, **options) -> Data
     """
     stages = Stages(spark, "warc")
     manifest = stages.save(write_packages(pages, stages.path("packages"), **options), "manifest")
-    places = read_index(manifest.repartition("path"))
+    places = stages.save(read_index(manifest.repartition("path")), "places")
     return read_records(places).drop("payload", "url")
