@@ -68,10 +68,10 @@ def stretch_hashes(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> n
     return mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype("u8"))
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of the words: stretches of other bytes than blank and the controls 9 to 13,
-    none of which spans two texts."""
-    solid = ~IS_SPACE[data]
+def words(data: np.ndarray, ends: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the words: stretches of other bytes than those that part them (blank and
+    the controls 9 to 13), none of which spans two texts."""
+    solid = ~parts[data]
     before = np.zeros(len(data), bool)
     before[1:] = solid[:-1]
     heads = ends[:-1][ends[:-1] < len(data)]
