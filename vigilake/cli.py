@@ -15,7 +15,7 @@ from .operators import enrichment as E
 from .operators.corpus import evaluate, load_cases
 from .operators.rollups import coverage
 from .operators.triage import ACTIONS, append_actions, read_actions, triaged
-from .plans.detect import Risk, deduplicated, detect
+from .plans.detect import Risk, fired_alerts, with_evidence
 from .plans.rules import load_rules, rules_frame
 from .plans.sigma import import_folder, merge_native_first
 from .session import get_session
@@ -45,25 +45,30 @@ def risk_of(config: Config, rules: list) -> Risk | None:
 
 
 def replay(spark: SparkSession, paths: list[str], config: Config, source: str | None = None, mode: str = "replay") -> tuple[DataFrame, DataFrame]:
-    """(events, alerts after dedup) of log files; each file's source is told by its first line."""
+    """(events, alerts after dedup) of log files; each file's source is told by its first line. The alerts
+    are a written table with the facts of their evidence, ``with_evidence`` fetches the events."""
     parts = []
     for k, path in enumerate(paths):
         lines = read_lines(spark, path).withColumn("ingest_seq", F.col("ingest_seq") + F.lit(k << 50))  # no number stands in two files
-        first = detect_source(lines.withColumn("path", F.lit(path))).head() if source is None else None
+        head = lines.where(F.trim("value") != "").limit(1)  # by file order, without reading on
+        first = detect_source(head.withColumn("path", F.lit(path))).head() if source is None else None
         parts.append(parse(source or (first["source"] if first else "auth.log"), lines, config.year, config.sources))
     events = parts[0]
     for part in parts[1:]:
         events = events.unionByName(part)
     events = enricher(spark, config)(events)
     rules, correlations = load_rules()
-    alerts = deduplicated(detect(events, rules, correlations, config.alert_window, risk=risk_of(config, rules)), config.dedup_window)
-    return events, alerts.withColumn("mode", F.lit(mode))
+    return events, _fired(events, rules, correlations, config, mode)
 
 
-def _deliver(alerts: DataFrame, config: Config, store: str | None) -> None:
+def _fired(events: DataFrame, rules: list, correlations: list, config: Config, mode: str) -> DataFrame:
+    return fired_alerts(events, rules, correlations, config.alert_window, risk=risk_of(config, rules), dedup_window=config.dedup_window).withColumn("mode", F.lit(mode))
+
+
+def _deliver(alerts: DataFrame, events: DataFrame, config: Config, store: str | None) -> None:
     print(console_table(alerts))
     if store:
-        append_alerts(alerts.drop("scope"), store)
+        append_alerts(with_evidence(alerts, events).drop("scope"), store)
     for push in build_pushes(config.notify):
         push.emit(alerts)
 
@@ -106,11 +111,10 @@ def main(argv: list[str] | None = None) -> int:
         source, make = SCENARIOS[args.scenario]
         rules, correlations = load_rules()
         events = enricher(spark, config)(parse(source, make(spark, f"{config.year}-03-01 10:00:00"), config.year))
-        alerts = deduplicated(detect(events, rules, correlations, config.alert_window, risk=risk_of(config, rules)), config.dedup_window).withColumn("mode", F.lit("simulation"))
-        _deliver(alerts, config, args.store)
+        _deliver(_fired(events, rules, correlations, config, "simulation"), events, config, args.store)
     elif args.verb == "replay":
-        _, alerts = replay(spark, args.paths, config, args.source)
-        _deliver(alerts, config, args.store)
+        events, alerts = replay(spark, args.paths, config, args.source)
+        _deliver(alerts, events, config, args.store)
     elif args.verb in ("list", "coverage"):
         rules, correlations = load_rules()
         frame = rules_frame(spark, [*rules, *correlations])

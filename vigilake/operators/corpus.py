@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.detect import TRAVEL, detect
+from ..plans.detect import TRAVEL, fired_alerts
 from ..plans.rules import Correlation, Rule, read_document
 from ..sources.parsers import PARSERS, parse
 from ..sources.scenarios import SCENARIOS
@@ -110,7 +110,7 @@ class Report:
 
 def evaluate(spark: SparkSession, cases: list[Case], rules: list[Rule], correlations: list[Correlation], enrich=lambda e: e) -> Report:
     """Rules against cases: a confusion row per rule, expectations missed, and alerts on benign cases."""
-    alerts = detect(enrich(case_events(spark, cases)), rules, correlations)
+    alerts = fired_alerts(enrich(case_events(spark, cases)), rules, correlations)
     # at most cases times rules, both of which are documents on the driver; so the plan runs once for all of the report
     fired = spark.createDataFrame(alerts.select("scope", "rule_id").distinct().collect(), "case_id string, rule_id string")
     frame = spark.createDataFrame([(c.name, c.label) for c in cases], "case_id string, label string")

@@ -66,17 +66,15 @@ def dedup(alerts: DataFrame, keys: list[str], ts: str, seq: str, window_us: int)
     undated alerts never merge.
     """
     order = Window.partitionBy(*keys).orderBy("_us", seq)
-    dated = alerts.where(F.col(ts).isNotNull()).withColumn("_us", _us(ts))
+    rows = alerts.withColumn("_us", _us(ts))
     gap = F.col("_us") - F.lag("_us").over(order)
-    dated = dated.withColumn("_new", F.when(gap.isNull() | (gap > window_us), 1).otherwise(0))
-    dated = dated.withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_new", F.when(gap.isNull() | (gap > window_us), 1).otherwise(0))  # so does each undated one, which sort first
+    rows = rows.withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rest = [c for c in alerts.columns if c not in keys]
-    merged = dated.groupBy(*keys, "_session").agg(
-        F.min_by(F.struct(*rest), F.struct("_us", seq)).alias("_a"), F.count("*").alias("occurrences"), F.max(ts).alias("last_seen")
+    merged = rows.groupBy(*keys, "_session").agg(
+        F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct("_us", seq)).alias("_a"), F.count("*").alias("occurrences"), F.max(ts).alias("last_seen")
     )
-    merged = merged.select(*keys, *(F.col(f"_a.`{c}`").alias(c) for c in rest), "occurrences", "last_seen")
-    undated = alerts.where(F.col(ts).isNull()).select(*keys, *rest, F.lit(1).cast("long").alias("occurrences"), F.col(ts).alias("last_seen"))
-    return merged.unionByName(undated)
+    return merged.select(*keys, *(F.col(f"_a.`{c}`").alias(c) for c in rest), "occurrences", "last_seen")
 
 
 def max_window_sum(scores: DataFrame, keys: list[str], ts: str, seq: str, score: str, window_us: int) -> DataFrame:

@@ -14,7 +14,8 @@ from ..operators.correlation import impossible_travel, ordered_chain, unordered_
 from ..operators.enrichment import enrich_alert
 from ..operators.risk import entity_scores, notables, severity_score
 from ..operators.windows import dedup, threshold_evidence
-from ..schema import field
+from ..schema import field, field_type
+from ..stages import Stages
 from .rules import Correlation, Rule, suppressed_ids
 
 ALERT_COLUMNS = ("scope", "rule_id", "rule_title", "severity", "timestamp", "source", "group_value", "description", "match_count", "events", "seq")
@@ -25,18 +26,28 @@ def _alert(rule: Rule | Correlation, **columns: Column) -> list[Column]:
     return [{**fixed, **columns}[c].alias(c) for c in ALERT_COLUMNS]
 
 
-def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m") -> DataFrame:
+def _scoped(events: DataFrame) -> DataFrame:
+    return events if "scope" in events.columns else events.withColumn("scope", F.lit(None).cast("string"))
+
+
+def _record(events: DataFrame) -> Column:
+    """The event as it stands in an alert's evidence; names that begin with _ are of the plan alone."""
+    return F.struct(*(F.col(f"`{c}`") for c in events.columns if c != "scope" and not c.startswith("_")))
+
+
+def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m", test: Callable[[Rule], Column] = Rule.predicate) -> DataFrame:
     """Alerts of all rules. One pass marks each event with the single-event rules that match it;
     threshold rules share one sort per (group field, operator, value, window).
 
     ``scope`` is a column of ``events`` that parts independent runs (cases), null for one run.
+    ``test`` tells which events a rule picks, where that is known already.
     """
-    events = events if "scope" in events.columns else events.withColumn("scope", F.lit(None).cast("string"))
-    record = F.struct(*(F.col(f"`{c}`") for c in events.columns if c != "scope"))
+    events = _scoped(events)
+    record = _record(events)
     single = [r for r in rules if r.parsed.threshold is None]
     parts = []
     if single:
-        hits = F.array_compact(F.array(*(F.when(r.predicate(), _rule_struct(r)) for r in single)))
+        hits = F.array_compact(F.array(*(F.when(test(r), _rule_struct(r)) for r in single)))
         found = events.select("*", F.explode(hits).alias("_r"))
         parts.append(found.select(
             "scope", "_r.rule_id", "_r.rule_title", "_r.severity", F.col("`@timestamp`").alias("timestamp"), F.col("log.source").alias("source"),
@@ -47,11 +58,11 @@ def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m")
         if t := r.parsed.threshold:
             shared[t.by, t.op, t.value, r.window(alert_window)].append(r)
     for (by, op, value, seconds), group in shared.items():
-        hits = F.array_compact(F.array(*(F.when(r.predicate(), _rule_struct(r)) for r in group)))
+        hits = F.array_compact(F.array(*(F.when(test(r), _rule_struct(r)) for r in group)))
         by_value = field(by).cast("string") if by else F.lit(None).cast("string")
         keyed = events.withColumns({"group_value": by_value, "_ts": F.col("`@timestamp`"), "_seq": F.col("ingest_seq")})
         if len(group) == 1:  # a filter, with nothing to explode
-            picked = keyed.where(group[0].predicate()).withColumn("rule", _rule_struct(group[0]))
+            picked = keyed.where(test(group[0])).withColumn("rule", _rule_struct(group[0]))
         else:
             picked = keyed.withColumn("rule", F.explode(hits))
         chosen = threshold_evidence(picked, ["scope", "rule", "group_value"], "_ts", "_seq", seconds * 1_000_000, op, value)
@@ -77,6 +88,10 @@ def _by_rank(x: Column, y: Column) -> Column:
     return (x["evidence_rank"] - y["evidence_rank"]).cast("int")
 
 
+def _by_place(x: Column, y: Column) -> Column:
+    return x["_place"] - y["_place"]
+
+
 def correlation_alerts(alerts: DataFrame, correlations: list[Correlation]) -> DataFrame | None:
     """Alerts of all correlations over the firings of all rules, the silent ones included."""
     parts = []
@@ -88,14 +103,17 @@ def correlation_alerts(alerts: DataFrame, correlations: list[Correlation]) -> Da
         rows = rows.withColumn("_scope", F.coalesce("scope", F.lit(""))).withColumn("_id", F.struct("seq", "rule_id"))
         chain = ordered_chain if c.type == "temporal_ordered" else unordered_chain
         found = chain(rows, ["_scope", *keys], list(c.rules), micros(c.timespan), ts="timestamp", seq="seq")
-        n = len(c.rules)
-        for k, rule in enumerate(c.rules, 1):
-            own = rows.where(F.col("rule_id") == rule).select("_scope", *keys, F.col("seq").alias(f"seq_{k}"), F.col("events").alias(f"_e{k}"), F.col("scope").alias(f"_s{k}"), F.col("source").alias(f"_src{k}"))
-            found = found.join(own, ["_scope", *keys, f"seq_{k}"])
+        # the evidence of all its firings comes back in one join
+        wanted = found.select("_scope", *keys, "fired", F.posexplode(F.array(*(F.struct(F.lit(r).alias("rule_id"), F.col(f"seq_{k}").alias("seq")) for k, r in enumerate(c.rules, 1)))).alias("_place", "_f"))
+        wanted = wanted.select("_scope", *keys, "fired", "_place", "_f.rule_id", "_f.seq")
+        held = wanted.join(rows.select("_scope", *keys, "rule_id", "seq", "events", "scope", "source"), ["_scope", *keys, "rule_id", "seq"])
+        whole = held.groupBy("_scope", *keys).agg(
+            F.first("fired").alias("_fired"), F.first("scope").alias("_own"), F.min_by("source", "_place").alias("_source"), F.max_by("seq", "_place").alias("_seq"),
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_place", "events")), _by_place), lambda x: x["events"])).alias("_events"),
+        )
         value = F.concat_ws("|", *keys) if keys else F.lit(None).cast("string")
-        parts.append(found.select(*_alert(
-            c, scope=F.col("_s1"), timestamp=F.col("fired"), source=F.col("_src1"), group_value=value, match_count=F.size(F.concat(*(f"_e{k}" for k in range(1, n + 1)))).cast("long"),
-            events=F.concat(*(f"_e{k}" for k in range(1, n + 1))), seq=F.col(f"seq_{n}"),
+        parts.append(whole.select(*_alert(
+            c, scope=F.col("_own"), timestamp=F.col("_fired"), source=F.col("_source"), group_value=value, match_count=F.size("_events").cast("long"), events=F.col("_events"), seq=F.col("_seq"),
         )))
     out = parts[0] if parts else None
     for part in parts[1:]:
@@ -110,6 +128,8 @@ def _first_value(events: str, path: str) -> Column:
 
 
 def _get(event: Column, path: str) -> Column:
+    if field_type(path) is None:
+        return event["labels"][path]
     for part in path.split("."):
         event = event[part]
     return event
@@ -123,24 +143,28 @@ TRAVEL = Correlation(
 
 def travel_alerts(events: DataFrame, detector: Correlation = TRAVEL) -> DataFrame:
     """Impossible travel over enriched events."""
-    events = events if "scope" in events.columns else events.withColumn("scope", F.lit(None).cast("string"))
-    record = F.struct(*(F.col(f"`{c}`") for c in events.columns if c != "scope"))
+    events = _scoped(events)
     who = F.struct(F.coalesce("scope", F.lit("")).alias("scope"), F.col("user.name").alias("name")).alias("user")
-    mine = events.where((F.col("event.category") == "authentication") & (F.col("event.outcome") == "success"))
-    logins = mine.select(
-        who, F.when(F.col("user.name").isNotNull(), F.col("source.geo.country_iso_code")).alias("country"), F.col("`@timestamp`").alias("ts"), F.col("ingest_seq").alias("seq")
+    mine = events.where(_is_login()).select(
+        who, F.when(F.col("user.name").isNotNull(), F.col("source.geo.country_iso_code")).alias("country"), F.col("`@timestamp`").alias("ts"), F.col("ingest_seq").alias("seq"), _record(events).alias("event")
+    )
+    found = impossible_travel(mine.drop("event"), micros(detector.timespan))
+    # the two events come back by their place, so that no event is carried through the window
+    wanted = found.select("user", "ts", F.posexplode(F.array("seq_1", "seq_2")).alias("_place", "seq"))
+    pairs = wanted.join(mine.select("user", "seq", "event"), ["user", "seq"]).groupBy("user").agg(
+        F.first("ts").alias("ts"), F.max_by("seq", "_place").alias("_seq"), F.min_by("event", "_place").alias("_e1"), F.max_by("event", "_place").alias("_e2")
     )
-    found = impossible_travel(logins, micros(detector.timespan))
-    for k in (1, 2):  # the two events come back by their place, so that no event is carried through the window
-        own = mine.select(who, F.col("ingest_seq").alias(f"seq_{k}"), record.alias(f"_e{k}"))
-        found = found.join(own, ["user", f"seq_{k}"])
     scope = F.when(F.col("user.scope") != "", F.col("user.scope"))
-    return found.select(*_alert(
+    return pairs.select(*_alert(
         detector, scope=scope, timestamp=F.col("ts").cast("timestamp"), source=F.col("_e2.log.source"), group_value=F.col("user.name"),
-        match_count=F.lit(2).cast("long"), events=F.array("_e1", "_e2"), seq=F.col("seq_2"),
+        match_count=F.lit(2).cast("long"), events=F.array("_e1", "_e2"), seq=F.col("_seq"),
     ))
 
 
+def _is_login() -> Column:
+    return (F.col("event.category") == "authentication") & (F.col("event.outcome") == "success")
+
+
 RISK_RULE = "risk-threshold-001"
 RISK_TYPE = "struct<score:bigint,threshold:int,object:string,signals:bigint,contributors:array<struct<rule_id:string,severity:string,score:bigint>>>"
 
@@ -169,14 +193,14 @@ def risk_scores(alerts: DataFrame, risk: Risk) -> DataFrame:
     return entity_scores(rows.where("score > 0"), values, "score", "group_value")
 
 
-def risk_alerts(alerts: DataFrame, risk: Risk) -> DataFrame:
+def risk_alerts(alerts: DataFrame, risk: Risk, hold: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """A notable for each entity whose best window reaches the threshold, with that window's alerts as
     contributors and the union of their evidence (of one raw line once). Both are part of the record,
-    so an alert grows with its window, and with nothing else."""
+    so an alert grows with its window, and with nothing else. ``hold`` keeps what is used more than once."""
     keys = ["_scope", "field", "entity"]
-    scores = risk_scores(alerts, risk).select("scope", *keys, "rule_id", F.col("severity").alias("level"), "timestamp", "seq", "share", "events")
+    scores = hold(risk_scores(alerts, risk).select("scope", *keys, "rule_id", F.col("severity").alias("level"), "timestamp", "seq", "share", "events"), "scores")
     best = notables(scores, keys, "timestamp", "seq", micros(risk.window), risk.threshold)
-    inside = scores.join(best, keys).where(F.col("timestamp").between(F.col("window_start"), F.col("window_end")))
+    inside = hold(scores.join(best, keys).where(F.col("timestamp").between(F.col("window_start"), F.col("window_end"))), "inside")
     made = inside.groupBy(*keys).agg(
         F.first("scope").alias("scope"), F.first("severity").alias("severity"), F.max("timestamp").alias("timestamp"), F.max("seq").alias("seq"), F.first("max_sum").alias("total"),
         F.sort_array(F.collect_list(F.struct("timestamp", "seq", "rule_id", F.col("level").alias("severity"), F.col("share").alias("score")))).alias("parts"),
@@ -211,16 +235,82 @@ def _in_order(x: Column, y: Column) -> Column:
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
-def detect(events: DataFrame, rules: list[Rule], correlations: list[Correlation], alert_window: str = "5m", travel: bool = True, risk: Risk | None = None) -> DataFrame:
-    """Emitted alerts, before dedup: rules that no correlation silences, correlations, behaviour and, if
-    asked for, notables of risk; each with its enrichment, drawn from the evidence."""
-    fired = rule_alerts(events, rules, alert_window)
-    out = fired.where(~F.col("rule_id").isin(sorted(suppressed_ids(correlations)))) if suppressed_ids(correlations) else fired
+#: What an event's part in alerts is read from, besides the fields that rules, correlations and risk name.
+FACTS = (
+    "@timestamp", "ingest_seq", "log.source", "source.ip", "source.geo.country_iso_code", "source.as.organization", "source.asset.trusted", "source.asset.name",
+    "threat.matched", "user.name", "user.role",
+)
+
+
+def _narrow(paths: set[str]) -> list[Column]:
+    """Columns of these fields, nested as in the event."""
+    tree: dict = {}
+    for path in sorted(paths):
+        at = tree
+        for part in path.split(".") if field_type(path) is not None else ["labels"]:
+            at = at.setdefault(part, {})
+
+    def build(at: dict, path: str) -> list[Column]:
+        return [(F.struct(*build(sub, f"{path}`{name}`.")) if sub else F.col(f"{path}`{name}`")).alias(name) for name, sub in at.items()]
+
+    return build(tree, "")
+
+
+def marked(events: DataFrame, rules: list[Rule], paths: set[str], logins: bool) -> DataFrame:
+    """Events that some rule picks, and logins if asked for: the facts of ``paths`` alone, raw lines as
+    their hash, and ``_hits``, the places of the rules that pick the event."""
+    events = _scoped(events)
+    hits = F.array_compact(F.array(*(F.when(r.predicate(), F.lit(k)) for k, r in enumerate(rules))))
+    login = F.coalesce(_is_login(), F.lit(False)) if logins else F.lit(False)
+    facts = [*_narrow(paths), F.struct(F.when(_is_login(), "authentication").alias("category"), F.when(_is_login(), "success").alias("outcome")).alias("event")]
+    return events.select("scope", *facts, F.sha2("raw", 256).alias("raw"), hits.alias("_hits"), login.alias("_login")).where((F.size("_hits") > 0) | F.col("_login"))
+
+
+def fired_alerts(
+    events: DataFrame, rules: list[Rule], correlations: list[Correlation], alert_window: str = "5m", travel: bool = True, risk: Risk | None = None, dedup_window: str | None = None
+) -> DataFrame:
+    """Emitted alerts with the facts of their evidence in place of whole events, as a written table:
+    rules that no correlation silences, correlations, behaviour and, if asked for, notables of risk,
+    each with its enrichment; bursts merged where ``dedup_window`` is given.
+
+    ``events`` are scanned once: what rules pick is written first, narrow, and all that follows reads
+    that table and the ones made from it. ``alert_id`` numbers the alerts.
+    """
+    stages = Stages(events.sparkSession, "detect")
+    paths = {*FACTS, *(p for c in correlations for p in c.group_by), *(r.parsed.threshold.by for r in rules if r.parsed.threshold and r.parsed.threshold.by), *(risk.objects if risk else ())}
+    picked = stages.save(marked(events, rules, paths, travel), "marked")
+    place = {r.id: k for k, r in enumerate(rules)}
+    fired = stages.save(rule_alerts(picked, rules, alert_window, lambda r: F.array_contains("_hits", place[r.id])), "fired")
+    silent = sorted(suppressed_ids(correlations))
+    out = fired.where(~F.col("rule_id").isin(silent)) if silent else fired
     if (linked := correlation_alerts(fired, correlations)) is not None:
         out = out.unionByName(linked)
-    out = out.unionByName(travel_alerts(events)) if travel else out
+    out = out.unionByName(travel_alerts(picked.where("_login"))) if travel else out
+    if risk:
+        out = stages.save(out, "told")
     told = out.withColumn("risk", F.lit(None).cast(RISK_TYPE))
-    return enrich_alert(told.unionByName(risk_alerts(out, risk)) if risk else told)
+    told = enrich_alert(told.unionByName(risk_alerts(out, risk, stages.save)) if risk else told)
+    told = deduplicated(told, dedup_window) if dedup_window else told
+    return stages.save(told.withColumn("alert_id", F.monotonically_increasing_id()), "alerts")
+
+
+def with_evidence(alerts: DataFrame, events: DataFrame) -> DataFrame:
+    """Alerts of ``fired_alerts`` with whole events, fetched by scope and number in one scan."""
+    events = _scoped(events)
+    places = alerts.select("alert_id", F.coalesce("scope", F.lit("")).alias("_scope"), F.posexplode(F.transform("events", lambda e: e["ingest_seq"])).alias("_place", "_seq"))
+    whole = events.select(F.coalesce("scope", F.lit("")).alias("_scope"), F.col("ingest_seq").alias("_seq"), _record(events).alias("event"))
+    held = places.join(whole, ["_scope", "_seq"]).groupBy("alert_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "event")), _by_place), lambda x: x["event"]).alias("events"))
+    columns = [c for c in alerts.columns if c != "alert_id"]
+    return alerts.drop("events").join(held, "alert_id", "left").select(*columns)
+
+
+def detect(
+    events: DataFrame, rules: list[Rule], correlations: list[Correlation], alert_window: str = "5m", travel: bool = True, risk: Risk | None = None, dedup_window: str | None = None
+) -> DataFrame:
+    """Emitted alerts with their whole evidence: two scans of ``events``, one to find what fires and one
+    to fetch the evidence of what is told. ``ingest_seq`` must number the events of a scope the same
+    way in both."""
+    return with_evidence(fired_alerts(events, rules, correlations, alert_window, travel, risk, dedup_window), events)
 
 
 def deduplicated(alerts: DataFrame, window: str = "5m") -> DataFrame:

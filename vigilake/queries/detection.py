@@ -11,7 +11,7 @@ from ..operators import risk as R
 from ..operators.correlation import impossible_travel, ordered_chain, unordered_chain
 from ..operators.windows import dedup, max_window_sum, threshold, threshold_evidence
 from ..plans.condition import compile_selection, parse_condition
-from ..plans.detect import Risk, risk_alerts, rule_alerts
+from ..plans.detect import RISK_RULE, Risk, detect, risk_alerts, rule_alerts
 from ..plans.rules import Correlation, Rule, logsource_predicate, suppressed_ids
 from ..schema import ecs_json
 from ..session import shared_dir
@@ -281,6 +281,46 @@ reg.add("risk_alerts", lambda s, d: risk_alerts(rule_alerts(normalized_events(s,
     wi AS (SELECT *, cum - min(cum - score) OVER v AS s, rn - min(rn) OVER v + 1 AS n FROM cu WINDOW v AS (PARTITION BY field, entity ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)),
     best AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY field, entity ORDER BY s DESC, rn) = 1)
     SELECT field, entity, CAST(s AS BIGINT) AS score, CASE WHEN s >= 600 THEN 'critical' ELSE 'high' END AS severity, n AS match_count, n AS n_events, CAST(s AS BIGINT) AS parts FROM best WHERE s >= 300""")
+
+
+def _detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, a chain that silences one of them, notables of risk, bursts and whole evidence."""
+    picks = lambda name, action, level, condition="s", **kw: Rule(id=name, title=name, selections={"s": {"event.action": action}}, condition=condition, level=level, **kw)
+    rules = [picks("brute", "error", "high", "s | count() by user.name >= 3", timeframe="24h"), picks("purchase", "purchase", "high"), picks("signup", "signup", "medium")]
+    chain = Correlation(id="chain", title="chain", type="temporal_ordered", rules=("brute", "purchase"), timespan="24h", group_by=("user.name",), generate=("brute",), level="critical")
+    out = detect(normalized_events(spark, sf_dir), rules, [chain], travel=False, risk=Risk(threshold=100), dedup_window="12h")
+    return ntz(out.select(
+        "rule_id", F.coalesce("group_value", F.col("events")[0]["source"]["ip"]).alias("about"), "severity", "match_count", "occurrences", F.col("timestamp").alias("ts"), "last_seen",
+        F.size("events").cast("long").alias("n_events"), F.array_max(F.transform("events", lambda e: e["ingest_seq"])).alias("last_event"), F.array_min(F.transform("events", lambda e: e["message"])).alias("message"),
+    ), "ts", "last_seen")
+
+
+reg.add("detect_all", _detect_all, f"""
+    WITH {_EVIDENCE_CTE},
+    b AS (SELECT brute.usr, ev.ip, brute.ts, brute.seq, brute.cnt, brute.rn FROM brute JOIN ev ON ev.seq = brute.seq),
+    p AS (SELECT b.usr, b.ip, b.ts AS started, e.ts, e.seq, b.cnt, b.rn FROM b JOIN ev e ON e.usr = b.usr AND e.action = 'purchase' AND e.ts >= b.ts QUALIFY row_number() OVER (PARTITION BY b.usr ORDER BY e.ts, e.seq) = 1),
+    chain AS (SELECT * FROM p WHERE ts - started <= INTERVAL 24 HOUR),
+    told AS (SELECT 'brute' AS rule_id, usr AS group_value, usr, ip, 'high' AS severity, 60 AS score, cnt AS n, ts, seq FROM b
+        UNION ALL SELECT 'chain', usr, usr, ip, 'critical', 90, cnt + 1, ts, seq FROM chain
+        UNION ALL SELECT 'signup', NULL, usr, ip, 'medium', 30, 1, ts, seq FROM ev WHERE action = 'signup'),
+    inside AS (SELECT b.usr, r.seq FROM b JOIN r ON r.usr = b.usr AND r.rn > b.rn - b.cnt AND r.rn <= b.rn),
+    evidence AS (SELECT 'brute' AS rule_id, b.seq, i.seq AS part FROM b JOIN inside i USING (usr)
+        UNION ALL SELECT 'chain', c.seq, i.seq FROM chain c JOIN inside i USING (usr) UNION ALL SELECT 'chain', seq, seq FROM chain
+        UNION ALL SELECT 'signup', seq, seq FROM ev WHERE action = 'signup'),
+    x AS (SELECT 'source.ip' AS field, ip AS entity, * FROM told UNION ALL SELECT 'user.name', usr, * FROM told),
+    cu AS (SELECT *, sum(score) OVER w AS cum, row_number() OVER w AS rn FROM x WINDOW w AS (PARTITION BY field, entity ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+    wi AS (SELECT *, cum - min(cum - score) OVER v AS s, min(ts) OVER v AS t0 FROM cu WINDOW v AS (PARTITION BY field, entity ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)),
+    best AS (SELECT field, entity, s, t0, ts AS t1 FROM wi QUALIFY row_number() OVER (PARTITION BY field, entity ORDER BY s DESC, rn) = 1),
+    notable AS (
+        SELECT entity, CASE WHEN any_value(s) >= 200 THEN 'critical' ELSE 'high' END AS severity, count(DISTINCT (x.rule_id, x.seq)) AS n, max(x.ts) AS ts, count(DISTINCT e.part) AS n_events, max(e.part) AS last_event, min(ev.props) AS message
+        FROM best JOIN x USING (field, entity) JOIN evidence e ON e.rule_id = x.rule_id AND e.seq = x.seq JOIN ev ON ev.seq = e.part
+        WHERE s >= 100 AND x.ts BETWEEN t0 AND t1 GROUP BY field, entity),
+    gaps AS (SELECT *, coalesce(group_value, ip) AS about, lag(ts) OVER (PARTITION BY rule_id, coalesce(group_value, ip) ORDER BY ts, seq) AS prev FROM told),
+    sess AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > INTERVAL 12 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY rule_id, about ORDER BY ts, seq) AS sid FROM gaps),
+    bursts AS (SELECT rule_id, about, count(*) AS occurrences, max(ts) AS last_seen, min_by({{'severity': severity, 'n': n, 'ts': ts, 'seq': seq}}, (ts, seq)) AS a FROM sess GROUP BY rule_id, about, sid),
+    shown AS (SELECT bursts.rule_id, about, a.severity AS severity, a.n AS match_count, occurrences, a.ts AS ts, last_seen, count(*) AS n_events, max(e.part) AS last_event, min(ev.props) AS message
+        FROM bursts JOIN evidence e ON e.rule_id = bursts.rule_id AND e.seq = a.seq JOIN ev ON ev.seq = e.part GROUP BY ALL)
+    SELECT * FROM shown UNION ALL SELECT '{RISK_RULE}', entity, severity, n, 1, ts, ts, n_events, last_event, message FROM notable""")
 reg.add("alerts_union", lambda s, d: ntz(firings(s, d).where("rule_id in ('brute', 'signup')").select("usr", "rule_id", "ts"), "ts"),
         f"WITH {_EVIDENCE_CTE} SELECT usr, 'brute' AS rule_id, ts FROM brute UNION ALL SELECT usr, 'signup', ts FROM ev WHERE action = 'signup'")
 reg.add("distinct_entities", lambda s, d: flat_events(s, d).select(F.explode(F.array(F.struct(F.lit("source.ip").alias("field"), F.col("ip").alias("value")), F.struct(F.lit("user.name").alias("field"), F.col("usr").alias("value")))).alias("x")).select("x.*").distinct(),

@@ -18,7 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/vigilake-checkpoints"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..durations import parse_duration
-from ..plans.detect import TRAVEL, Risk, deduplicated, detect
+from ..plans.detect import TRAVEL, Risk, detect
 from ..plans.rules import Correlation, Rule
 from ..session import shared_dir
 
@@ -131,7 +131,7 @@ class LiveMonitor:
         self.counts["events"] += events.count()
         if replaced is not None:
             self._drop("buffer", self.batches - 1)
-        found = deduplicated(detect(self.enrich(self.buffer), self.rules, self.correlations, self.alert_window, risk=self.risk), self.dedup_window)
+        found = detect(self.enrich(self.buffer), self.rules, self.correlations, self.alert_window, risk=self.risk, dedup_window=self.dedup_window)
         found = found.withColumn("mode", F.lit("live")).withColumn("_key", F.concat_ws("|", "rule_id", F.coalesce("group_value", F.col("events")[0]["source"]["ip"], F.lit(""))))
         fresh = found
         if self.emitted is not None:
