@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OPS = {">=": Column.__ge__, ">": Column.__gt__, "==": Column.__eq__, "<": Column.__lt__, "<=": Column.__le__}
+OPS = {">=": Column.__ge__, ">": Column.__gt__, "==": Column.__eq__, "<": Column.__lt__, "<=": Column.__le__}
 
 
-def _us(ts: str) -> Column:
+def micros_of(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
@@ -18,7 +18,7 @@ def counted(events: DataFrame, keys: list[str], ts: str, seq: str, window_us: in
     spec = Window.partitionBy(*keys)
     ordered = spec.orderBy("_us", seq)
     ranged = spec.orderBy("_us").rangeBetween(-window_us, 0)
-    rows = events.withColumn("_us", _us(ts)).withColumn("_rn", F.row_number().over(ordered).cast("long"))
+    rows = events.withColumn("_us", micros_of(ts)).withColumn("_rn", F.row_number().over(ordered).cast("long"))
     return rows.withColumn("_cnt", F.col("_rn") - F.min("_rn").over(ranged) + 1)
 
 
@@ -30,12 +30,12 @@ def threshold(events: DataFrame, keys: list[str], ts: str, seq: str, window_us:
     dated one; a key of undated events alone is one window over all of them.
     """
     dated = events.withColumn("_dated", F.count(ts).over(Window.partitionBy(*keys)))
-    crossing = _OPS[op](F.col("_cnt"), F.lit(value))
+    crossing = OPS[op](F.col("_cnt"), F.lit(value))
     timed = counted(dated.where(F.col(ts).isNotNull()), keys, ts, seq, window_us).where(crossing)
     first = timed.groupBy(*keys).agg(F.min(F.struct("_rn", "_us", "_cnt")).alias("_x"))
     hit = first.select(*keys, F.col("_x._rn").alias("rn_to"), F.col("_x._us").alias("_us"), F.col("_x._cnt").alias("match_count"))
     hit = hit.select(*keys, F.timestamp_micros("_us").alias("last_seen"), "match_count", (F.col("rn_to") - F.col("match_count") + 1).alias("rn_from"), "rn_to")
-    undated = dated.where("_dated = 0").groupBy(*keys).agg(F.count("*").alias("match_count")).where(_OPS[op](F.col("match_count"), F.lit(value)))
+    undated = dated.where("_dated = 0").groupBy(*keys).agg(F.count("*").alias("match_count")).where(OPS[op](F.col("match_count"), F.lit(value)))
     undated = undated.select(*keys, F.lit(None).cast("timestamp").alias("last_seen"), "match_count", F.lit(1).cast("long").alias("rn_from"), F.col("match_count").alias("rn_to"))
     return hit.unionByName(undated)
 
@@ -52,7 +52,7 @@ def threshold_evidence(events: DataFrame, keys: list[str], ts: str, seq: str, wi
     place = F.row_number().over(own.orderBy("_us", seq)).cast("long")
     within = within.withColumn("_rn", place)
     within = within.withColumn("_cnt", F.when(undated, F.count("*").over(own)).otherwise(F.col("_rn") - F.min("_rn").over(own.orderBy("_us").rangeBetween(-window_us, 0)) + 1))
-    end = F.min(F.when(_OPS[op](F.col("_cnt"), F.lit(value)), F.struct(F.when(undated, F.col("_cnt")).otherwise(F.col("_rn")).alias("rn"), F.col("_cnt").alias("cnt")))).over(own)
+    end = F.min(F.when(OPS[op](F.col("_cnt"), F.lit(value)), F.struct(F.when(undated, F.col("_cnt")).otherwise(F.col("_rn")).alias("rn"), F.col("_cnt").alias("cnt")))).over(own)
     chosen = within.withColumn("_end", end).where(F.col("_end").isNotNull())
     chosen = chosen.where((F.col("_rn") <= F.col("_end.rn")) & (F.col("_rn") > F.col("_end.rn") - F.col("_end.cnt")))
     out = chosen.withColumn("match_count", F.col("_end.cnt")).withColumn("evidence_rank", F.col("_rn") - F.col("_end.rn") + F.col("_end.cnt"))
@@ -66,7 +66,7 @@ def dedup(alerts: DataFrame, keys: list[str], ts: str, seq: str, window_us: int)
     undated alerts never merge.
     """
     order = Window.partitionBy(*keys).orderBy("_us", seq)
-    rows = alerts.withColumn("_us", _us(ts))
+    rows = alerts.withColumn("_us", micros_of(ts))
     gap = F.col("_us") - F.lag("_us").over(order)
     rows = rows.withColumn("_new", F.when(gap.isNull() | (gap > window_us), 1).otherwise(0))  # so does each undated one, which sort first
     rows = rows.withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -83,7 +83,7 @@ def max_window_sum(scores: DataFrame, keys: list[str], ts: str, seq: str, score:
     spec = Window.partitionBy(*keys)
     ordered = spec.orderBy("_us", seq).rowsBetween(Window.unboundedPreceding, 0)
     ranged = spec.orderBy("_us").rangeBetween(-window_us, 0)
-    rows = scores.withColumn("_us", _us(ts)).withColumn("_cum", F.sum(score).over(ordered)).withColumn("_rn", F.count("*").over(ordered))
+    rows = scores.withColumn("_us", micros_of(ts)).withColumn("_cum", F.sum(score).over(ordered)).withColumn("_rn", F.count("*").over(ordered))
     rows = rows.withColumn("_before", F.min(F.col("_cum") - F.col(score)).over(ranged)).withColumn("_first", F.min(F.struct("_rn", "_us")).over(ranged))
     rows = rows.withColumn("_sum", F.col("_cum") - F.col("_before"))
     best = rows.groupBy(*keys).agg(F.max(F.struct("_sum", (-F.col("_rn")).alias("_last"), "_us", "_first")).alias("_x"))

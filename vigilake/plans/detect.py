@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durations import micros
+from ..operators.blocks import evidence_in_blocks, ordered_chain_in_blocks, unordered_chain_in_blocks
 from ..operators.correlation import impossible_travel, ordered_chain, unordered_chain
 from ..operators.enrichment import enrich_alert
 from ..operators.risk import entity_scores, notables, severity_score
@@ -65,7 +66,9 @@ def rule_alerts(events: DataFrame, rules: list[Rule], alert_window: str = "5m",
             picked = keyed.where(test(group[0])).withColumn("rule", _rule_struct(group[0]))
         else:
             picked = keyed.withColumn("rule", F.explode(hits))
-        chosen = threshold_evidence(picked, ["scope", "rule", "group_value"], "_ts", "_seq", seconds * 1_000_000, op, value)
+        # without a group all of a rule's events are one key: these go by blocks of time
+        evidence = threshold_evidence if by else evidence_in_blocks
+        chosen = evidence(picked, ["scope", "rule", "group_value"], "_ts", "_seq", seconds * 1_000_000, op, value)
         # the event is put together after the windows, which pass its columns on as they are
         chosen = chosen.select("scope", "rule", "group_value", "_ts", "_seq", "match_count", "evidence_rank", F.col("log.source").alias("_source"), record.alias("event"))
         alerts = chosen.groupBy("scope", "rule", "group_value").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import risk as R
+from ..operators.blocks import ordered_chain_in_blocks, threshold_in_blocks, unordered_chain_in_blocks
 from ..operators.correlation import impossible_travel, ordered_chain, unordered_chain
 from ..operators.windows import dedup, max_window_sum, threshold, threshold_evidence
 from ..plans.condition import compile_selection, parse_condition
@@ -28,8 +29,9 @@ DAY = 24 * HOUR
 def _threshold(op: str, value: int, keys: tuple[str, ...] = ("usr",), window: int = DAY):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = flat_events(spark, sf_dir).where("action = 'error'")
-        out = threshold(e if keys else e.withColumn("grp", F.lit("all")), list(keys) or ["grp"], "ts", "seq", window, op, value)
-        return ntz(out, "last_seen")
+        if not keys:
+            return ntz(threshold_in_blocks(e, [], "ts", "seq", window, op, value).select(F.lit("all").alias("grp"), "*"), "last_seen")
+        return ntz(threshold(e, list(keys), "ts", "seq", window, op, value), "last_seen")
 
     return run
 
@@ -134,6 +136,24 @@ reg.add("corr_unordered", _unordered, f"""
     JOIN ev c ON c.usr = x.usr AND c.action = 'signup' AND c.ts = t3""")
 
 
+def _without_keys(chain, rules: list[str], span: int):
+    return lambda s, d: ntz(chain(flat_events(s, d).where(F.pmod("seq", F.lit(5)) < 4), rules, span, rule="action"), *(["started", "fired"] if chain is ordered_chain_in_blocks else ["fired", "completed"]))
+
+
+reg.add("corr_ordered_no_key", _without_keys(ordered_chain_in_blocks, ["signup", "error", "purchase"], HOUR), f"""
+    WITH {EV}, f AS (SELECT * FROM ev WHERE seq % 5 < 4), c AS (SELECT ts AS us, seq FROM f WHERE action = 'purchase'),
+    b AS (SELECT b.ts, b.seq, min((c.us, c.seq)) AS c FROM f b ASOF JOIN (SELECT us, min(seq) AS seq FROM c GROUP BY us) c ON b.ts <= c.us WHERE b.action = 'error' GROUP BY b.ts, b.seq),
+    b1 AS (SELECT ts, min((seq, c)) AS x FROM b GROUP BY ts),
+    a AS (SELECT a.ts, a.seq, b1.ts AS t2, b1.x AS x FROM f a ASOF JOIN b1 ON a.ts <= b1.ts WHERE a.action = 'signup')
+    SELECT ts AS started, x[2][1] AS fired, seq AS seq_1, x[1] AS seq_2, x[2][2] AS seq_3 FROM a WHERE x[2][1] - ts <= INTERVAL 1 HOUR ORDER BY ts, seq LIMIT 1""")
+reg.add("corr_unordered_no_key", _without_keys(unordered_chain_in_blocks, ["error", "purchase", "signup"], HOUR), f"""
+    WITH {EV}, r AS (SELECT *, max(CASE WHEN action = 'error' THEN (ts, seq) END) OVER w AS l1, max(CASE WHEN action = 'purchase' THEN (ts, seq) END) OVER w AS l2,
+        max(CASE WHEN action = 'signup' THEN (ts, seq) END) OVER w AS l3 FROM ev WHERE action IN ('error', 'purchase', 'signup') AND seq % 5 < 4
+        WINDOW w AS (ORDER BY ts, action, seq ROWS UNBOUNDED PRECEDING)),
+    x AS (SELECT * FROM r WHERE l1 IS NOT NULL AND l2 IS NOT NULL AND l3 IS NOT NULL AND ts - least(l1[1], l2[1], l3[1]) <= INTERVAL 1 HOUR ORDER BY ts, action, seq LIMIT 1)
+    SELECT l3[1] AS fired, ts AS completed, l1[2] AS seq_1, l2[2] AS seq_2, l3[2] AS seq_3 FROM x""")
+
+
 def _suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = Correlation(id="brute-then-purchase", title="", type="temporal_ordered", rules=("brute", "purchase"), timespan="24h", group_by=("user.name",), generate=("brute",))
     f = firings(spark, sf_dir)
