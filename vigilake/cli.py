@@ -104,6 +104,8 @@ def main(argv: list[str] | None = None) -> int:
     watch.add_argument("path")
     watch.add_argument("--source", choices=sorted(PARSERS), required=True)
     watch.add_argument("--seconds", type=int, default=2)
+    watch.add_argument("--folder", help="where state and checkpoint stand; a later watch of the same folder goes on from them")
+    watch.add_argument("--store")
     args = parser.parse_args(argv)
     config = load_config(args.config)
     spark = get_session()
@@ -144,9 +146,12 @@ def main(argv: list[str] | None = None) -> int:
 
         spark.dataSource.register(TailSource)
         rules, correlations = load_rules()
-        monitor = LiveMonitor(spark, rules, correlations, [lambda a: print(console_table(a)), *(p.emit for p in build_pushes(config.notify))], enricher(spark, config), config.alert_window, config.dedup_window, risk_of(config, rules))
+        monitor = LiveMonitor(
+            spark, rules, correlations, [lambda a: print(console_table(a)), *(p.emit for p in build_pushes(config.notify))], enricher(spark, config), config.alert_window, config.dedup_window,
+            risk_of(config, rules), args.folder, lambda rows: parse(args.source, rows, config.year), args.store,
+        )
         lines = spark.readStream.format("tail").option("path", args.path).load()
-        monitor.start(parse(args.source, lines, config.year), processingTime=f"{args.seconds} seconds").awaitTermination()
+        monitor.start(lines, processingTime=f"{args.seconds} seconds").awaitTermination()
     return 0
 
 

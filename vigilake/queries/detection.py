@@ -116,7 +116,8 @@ def _ordered_sql(keys: str) -> str:
         SELECT {keys}, started, fired, seq_2 FROM p WHERE fired - started <= INTERVAL 24 HOUR"""
 
 
-reg.add("corr_ordered", _ordered(["usr"]), _ordered_sql("usr"))
+ORDERED_SQL = _ordered_sql("usr")
+reg.add("corr_ordered", _ordered(["usr"]), ORDERED_SQL)
 reg.add("corr_multi_key", _ordered(["usr", "host"]), _ordered_sql("usr, host"))
 
 
@@ -125,7 +126,7 @@ def _unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntz(out, "fired", "completed")
 
 
-reg.add("corr_unordered", _unordered, f"""
+UNORDERED_SQL = f"""
     WITH {EV}, r AS (SELECT *, max(CASE WHEN action = 'error' THEN ts END) OVER w AS t1, max(CASE WHEN action = 'purchase' THEN ts END) OVER w AS t2,
         max(CASE WHEN action = 'signup' THEN ts END) OVER w AS t3 FROM ev WHERE action IN ('error', 'purchase', 'signup')
         WINDOW w AS (PARTITION BY usr ORDER BY ts, action, seq ROWS UNBOUNDED PRECEDING)),
@@ -133,7 +134,8 @@ reg.add("corr_unordered", _unordered, f"""
           QUALIFY row_number() OVER (PARTITION BY usr ORDER BY ts, action, seq) = 1)
     SELECT x.usr, t3 AS fired, x.ts AS completed, a.seq AS seq_1, b.seq AS seq_2, c.seq AS seq_3
     FROM x JOIN ev a ON a.usr = x.usr AND a.action = 'error' AND a.ts = t1 JOIN ev b ON b.usr = x.usr AND b.action = 'purchase' AND b.ts = t2
-    JOIN ev c ON c.usr = x.usr AND c.action = 'signup' AND c.ts = t3""")
+    JOIN ev c ON c.usr = x.usr AND c.action = 'signup' AND c.ts = t3"""
+reg.add("corr_unordered", _unordered, UNORDERED_SQL)
 
 
 def _without_keys(chain, rules: list[str], span: int):
@@ -201,8 +203,9 @@ _SCORED = f"{EV}, sc AS (SELECT *, CASE severity WHEN 'informational' THEN 5 WHE
 _BEST = f"""{_SCORED}, cu AS (SELECT usr, ts, seq, score, sum(score) OVER w AS cum, row_number() OVER w AS rn FROM sc WINDOW w AS (PARTITION BY usr ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
     wi AS (SELECT *, cum - min(cum - score) OVER v AS s, min(rn) OVER v AS rn0, min(ts) OVER v AS t0 FROM cu WINDOW v AS (PARTITION BY usr ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)),
     best AS (SELECT usr, CAST(s AS BIGINT) AS max_sum, t0 AS window_start, ts AS window_end, rn - rn0 + 1 AS signals FROM wi QUALIFY row_number() OVER (PARTITION BY usr ORDER BY s DESC, rn) = 1)"""
+BEST_SQL = f"WITH {_BEST} SELECT * FROM best"
 reg.add("risk_scores", lambda s, d: scored(s, d).select("seq", "score"), f"WITH {_SCORED} SELECT seq, CAST(score AS BIGINT) AS score FROM sc")
-reg.add("risk_max_window", lambda s, d: ntz(max_window_sum(scored(s, d), ["usr"], "ts", "seq", "score", DAY), "window_start", "window_end"), f"WITH {_BEST} SELECT * FROM best")
+reg.add("risk_max_window", lambda s, d: ntz(max_window_sum(scored(s, d), ["usr"], "ts", "seq", "score", DAY), "window_start", "window_end"), BEST_SQL)
 reg.add("topk_risk", lambda s, d: scored(s, d).groupBy("usr").agg(F.sum("score").alias("total")).orderBy(F.desc("total"), "usr").limit(5),
         f"WITH {_SCORED} SELECT usr, CAST(sum(score) AS BIGINT) AS total FROM sc GROUP BY usr ORDER BY total DESC, usr LIMIT 5")
 

@@ -6,6 +6,7 @@ import json
 import sys
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from ..operators.rollups import SEVERITY_RANK, severity_gate
 from ..plans.detect import RISK_TYPE
 from ..schema import EVENT_SCHEMA
+from ..stages import exists, rename
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 #: Push priorities of severities. The tags are our own.
@@ -33,18 +35,28 @@ def store_schema() -> T.StructType:
     return T.StructType.fromDDL(ddl).add("events", T.ArrayType(EVENT_SCHEMA))
 
 
-def append_alerts(alerts: DataFrame, path: str, reset: bool = False) -> None:
-    """Adds alerts to a folder of JSON lines, or replaces what is there."""
-    alerts.write.mode("overwrite" if reset else "append").option("timestampFormat", STAMP).json(path)
+def append_alerts(alerts: DataFrame, path: str, reset: bool = False, batch: str | None = None) -> None:
+    """Adds alerts to a folder of JSON lines, or replaces what is there.
+
+    With ``batch``, its name, they are written aside and moved in at once under that name, unless that
+    is there already: a batch that is run again leaves each alert once, one cut short leaves none.
+    """
+    spark = alerts.sparkSession
+    out = lambda mode, at: alerts.write.mode(mode).option("timestampFormat", STAMP).json(at)
+    if batch is None:
+        out("overwrite" if reset else "append", path)
+    elif not exists(spark, f"{path}/{batch}"):
+        aside = f"{path}/_staging/{batch}-{uuid.uuid4().hex}"
+        out("overwrite", aside)
+        rename(spark, aside, f"{path}/{batch}")
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Alerts of a store; malformed lines are passed over, a store that isn't there is empty. A missing
     mode reads simulation."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if not exists(spark, path):
         return spark.createDataFrame([], store_schema())
-    rows = spark.read.schema(store_schema()).option("timestampFormat", STAMP).json(path, mode="DROPMALFORMED")
+    rows = spark.read.schema(store_schema()).option("timestampFormat", STAMP).option("recursiveFileLookup", True).json(path, mode="DROPMALFORMED")
     return rows.withColumn("mode", F.coalesce("mode", F.lit("simulation")))
 
 

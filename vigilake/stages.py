@@ -37,10 +37,41 @@ class Stages:
             delete(self.spark, df._vigilake_path)
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, store = _at(spark, path)
+    return store.exists(target)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What stands in a folder; nothing where there is none."""
+    target, store = _at(spark, path)
+    return sorted(s.getPath().getName() for s in store.listStatus(target)) if store.exists(target) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    target, store = _at(spark, f"{path}.part")
+    out = store.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename(spark, f"{path}.part", path)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    target, store = _at(spark, path)
+    if not store.rename(target, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} can't become {to}")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder or file of whatever store, if it is there."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target, store = _at(spark, path)
+    store.delete(target, True)
 
 
 @contextmanager

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..durations import parse_duration
-from ..plans.detect import TRAVEL, Risk, detect
+from ..plans.detect import TRAVEL, Risk, fired_alerts, with_evidence
 from ..plans.rules import Correlation, Rule
 from ..session import shared_dir
+from ..sources.sinks import append_alerts
+from ..stages import delete, exists, names, write_text
 
 MOST_BUFFERED = 50_000
 
@@ -90,69 +93,86 @@ def emission_gate(alerts: DataFrame, key: str, ts: str, window_us: int, late: st
 
 
 class LiveMonitor:
-    """Micro-batches into a rolling buffer, over which all rules run again; new alerts go to sinks.
-
-    The buffer is a table in the shared folder: events no older than the horizon before the newest,
-    undated ones always, and the newest ``MOST_BUFFERED`` of all. What was emitted is a table too, a
-    row per alert key, so a restart tells no alert twice.
+    """Micro-batches into a rolling buffer, over which all rules run again; alerts not told before go to
+    the store and the sinks.
+
+    State is tables in ``folder``, a set for each batch: the buffer (events no older than the horizon
+    before the newest, undated ones always, and the newest ``MOST_BUFFERED`` of all) and, for each alert
+    key told within the horizon, when. A batch's last act is a marker with the counts so far. So a
+    monitor of the same folder goes on where the last one ended and tells no alert twice, and a batch
+    that is run again replaces what it had begun: the store takes each batch once, other sinks may see
+    the alerts of a batch again that was cut short behind them.
     """
 
     def __init__(self, spark: SparkSession, rules: list[Rule], correlations: list[Correlation], sinks: Iterable[Callable[[DataFrame], object]] = (),
-                 enrich: Callable[[DataFrame], DataFrame] = lambda e: e, alert_window: str = "5m", dedup_window: str = "5m", risk: Risk | None = None):
+                 enrich: Callable[[DataFrame], DataFrame] = lambda e: e, alert_window: str = "5m", dedup_window: str = "5m", risk: Risk | None = None,
+                 folder: str | None = None, parser: Callable[[DataFrame], DataFrame] | None = None, store: str | None = None):
         self.spark, self.rules, self.correlations, self.sinks, self.enrich = spark, rules, correlations, list(sinks), enrich
-        self.alert_window, self.dedup_window, self.risk = alert_window, dedup_window, risk
+        self.alert_window, self.dedup_window, self.risk, self.parser, self.store = alert_window, dedup_window, risk, parser, store
         self.horizon = horizon_seconds(rules, correlations, alert_window, dedup_window)
-        self.base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
-        self.buffer: DataFrame | None = None
-        self.emitted: DataFrame | None = None
-        self.batches = 0
-        self.counts = {"events": 0, "alerts": 0}
-
-    def _save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{self.batches}"
+        self.base = folder or f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+        self.done = {int(name.removeprefix("batch-")): f"{self.base}/state/{name}" for name in names(spark, f"{self.base}/state") if exists(spark, f"{self.base}/state/{name}/DONE")}
+        last = self.spark.read.text(f"{self.done[max(self.done)]}/DONE").head()[0] if self.done else None
+        self.counts = json.loads(last) if last else {"lines": 0, "events": 0, "alerts": 0, "newest": None}
+
+    def _save(self, df: DataFrame, path: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _drop(self, name: str, batch: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}-{batch}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def trimmed(self, events: DataFrame) -> DataFrame:
-        newest = events.agg(F.max("@timestamp").alias("_newest"))
-        near = F.col("@timestamp").isNull() | (F.col("@timestamp") >= F.col("_newest") - F.expr(f"INTERVAL {self.horizon} SECONDS"))
-        kept = events.crossJoin(F.broadcast(newest)).where(near).drop("_newest")  # one row
-        return kept.orderBy(F.desc_nulls_first("@timestamp"), F.desc("ingest_seq")).limit(MOST_BUFFERED)
-
-    def on_batch(self, events: DataFrame, batch_id: int = 0) -> DataFrame:
-        """Takes new events in, and returns (and hands to the sinks) the alerts not told before."""
-        self.batches += 1
-        whole = events if self.buffer is None else self.buffer.unionByName(events)
-        replaced, self.buffer = self.buffer, self._save(self.trimmed(whole), "buffer")
-        self.counts["events"] += events.count()
-        if replaced is not None:
-            self._drop("buffer", self.batches - 1)
-        found = detect(self.enrich(self.buffer), self.rules, self.correlations, self.alert_window, risk=self.risk, dedup_window=self.dedup_window)
+    def _arrived(self, rows: DataFrame, path: str, batch: int) -> tuple[DataFrame, dict]:
+        """The batch's events, written, with the counts that this one job has observed."""
+        lines, seen = Observation(), Observation()
+        count = F.count(F.lit(1)).alias("n")
+        events = self.parser(rows.observe(lines, count)) if self.parser else rows
+        saved = self._save(events.observe(seen, count, F.max("@timestamp").cast("string").alias("newest")).withColumn("_batch", F.lit(batch)), path)
+        return saved, {"lines": lines.get["n"] if self.parser else 0, "events": seen.get["n"], "newest": seen.get["newest"]}
+
+    def trimmed(self, events: DataFrame, newest: str | None) -> DataFrame:
+        near = F.col("@timestamp").isNull() | (F.col("@timestamp") >= F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {self.horizon} SECONDS"))
+        return events.where(near).orderBy(F.desc_nulls_first("@timestamp"), F.desc("_batch"), F.desc("ingest_seq")).limit(MOST_BUFFERED)
+
+    def on_batch(self, rows: DataFrame, batch_id: int | None = None) -> DataFrame:
+        """Takes new events (or lines, with a ``parser``) in, and returns the alerts not told before."""
+        batch = max(self.done, default=-1) + 1 if batch_id is None else batch_id
+        path = f"{self.base}/state/batch-{batch:09d}"
+        if batch in self.done:
+            return self.spark.read.parquet(f"{path}/fresh")
+        before = self.done.get(max((b for b in self.done if b < batch), default=None))
+        new, counted = self._arrived(rows, f"{path}/new", batch)
+        newest = max(filter(None, (self.counts["newest"], counted["newest"])), default=None)
+        whole = new if before is None else self.spark.read.schema(new.schema).parquet(f"{before}/buffer").unionByName(new)
+        buffer = self._save(self.trimmed(whole, newest), f"{path}/buffer")
+        # numbers of files and batches may meet: the buffer's order is one number, over no more than MOST_BUFFERED rows
+        numbered = buffer.withColumn("ingest_seq", F.row_number().over(Window.orderBy("_batch", "ingest_seq")).cast("long")).drop("_batch")
+        held = self._save(self.enrich(numbered), f"{path}/held")
+        found = fired_alerts(held, self.rules, self.correlations, self.alert_window, risk=self.risk, dedup_window=self.dedup_window)
         found = found.withColumn("mode", F.lit("live")).withColumn("_key", F.concat_ws("|", "rule_id", F.coalesce("group_value", F.col("events")[0]["source"]["ip"], F.lit(""))))
-        fresh = found
-        if self.emitted is not None:
-            last = self.emitted.groupBy("_key").agg(F.max("at").alias("_last"))
-            quiet = F.expr(f"timestamp <= _last + INTERVAL {parse_duration(self.dedup_window)} SECONDS")
-            fresh = found.join(last, "_key", "left").where(~F.coalesce(quiet, F.lit(False))).drop("_last")
-        fresh = self._save(fresh, "fresh")
-        if self.batches > 1:
-            self._drop("fresh", self.batches - 1)
-        told = fresh.select("_key", F.col("timestamp").alias("at"))
-        told.write.mode("append").parquet(f"{self.base}/emitted")
-        self.emitted = self.spark.read.schema(told.schema).parquet(f"{self.base}/emitted")
-        out = fresh.drop("_key")
-        self.counts["alerts"] += out.count()
+        at = F.coalesce("timestamp", F.current_timestamp()).alias("at")
+        told = None if before is None else self.spark.read.schema("_key string, at timestamp").parquet(f"{before}/told")
+        if told is not None:
+            quiet = F.expr(f"coalesce(timestamp, current_timestamp()) <= _last + INTERVAL {parse_duration(self.dedup_window)} SECONDS")
+            found = found.join(told.withColumnRenamed("at", "_last"), "_key", "left").where(~F.coalesce(quiet, F.lit(False))).drop("_last")
+        alerts = Observation()
+        fresh = self._save(found.observe(alerts, F.count(F.lit(1)).alias("n")), f"{path}/told_now")
+        out = self._save(with_evidence(fresh, held).drop("_key"), f"{path}/fresh")
+        now = fresh.select("_key", at)
+        since = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {self.horizon + parse_duration(self.dedup_window)} SECONDS")
+        kept = (now if told is None else told.unionByName(now)).groupBy("_key").agg(F.max("at").alias("at")).where(F.coalesce(F.col("at") >= since, F.lit(True)))
+        self._save(kept, f"{path}/told")
+        if self.store:
+            append_alerts(out.drop("scope"), self.store, batch=f"live-{batch:09d}")
         for sink in self.sinks:
             sink(out)
+        sums = {k: self.counts[k] + n for k, n in (("lines", counted["lines"]), ("events", counted["events"]), ("alerts", alerts.get["n"]))}
+        write_text(self.spark, f"{path}/DONE", json.dumps(sums | {"newest": newest}))
+        self.counts, self.done[batch] = sums | {"newest": newest}, path
+        for old in sorted(self.done)[:-2]:
+            delete(self.spark, self.done.pop(old))
         return out
 
-    def start(self, events: DataFrame, checkpoint: str | None = None, **trigger):
-        """A streaming query that feeds ``on_batch``."""
-        writer = events.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint or f"{self.base}/checkpoint")
+    def start(self, rows: DataFrame, checkpoint: str | None = None, **trigger):
+        """A streaming query that feeds ``on_batch``; its checkpoint is in the monitor's folder."""
+        writer = rows.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint or f"{self.base}/checkpoint")
         return (writer.trigger(**trigger) if trigger else writer).start()
 
 
