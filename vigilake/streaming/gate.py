@@ -24,7 +24,7 @@ class Gate(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
         told = pd.concat(list(rows))
         told.columns = [*self.columns, "gate_us"]  # names that begin with _ arrive changed
@@ -36,10 +36,10 @@ class Gate(StatefulProcessor):
         self.last.update((int(last),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max((int(last) + self.window_us) // 1000 + 1, timer_values.getCurrentWatermarkInMs() + 1))
+        self.handle.registerTimer(max((int(last) + self.window_us) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
         yield told.loc[keep, self.columns]
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.last.clear()
         return iter([])
 
