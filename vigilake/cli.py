@@ -15,7 +15,7 @@ from .operators import enrichment as E
 from .operators.corpus import evaluate, load_cases
 from .operators.rollups import coverage
 from .operators.triage import ACTIONS, append_actions, read_actions, triaged
-from .plans.detect import Risk, fired_alerts, with_evidence
+from .plans.detect import Risk, fired_alerts, stored_leaderboard, with_evidence
 from .plans.rules import load_rules, rules_frame
 from .plans.sigma import import_folder, merge_native_first
 from .session import get_session
@@ -98,6 +98,9 @@ def main(argv: list[str] | None = None) -> int:
     triage.add_argument("--status", help="list alerts of this status")
     triage.add_argument("--incident", help="list alerts of this incident")
     triage.add_argument("--open", action="store_true", help="list open alerts")
+    risky = verbs.add_parser("risk", help="the entities of most risk over a store")
+    risky.add_argument("store")
+    risky.add_argument("--limit", type=int, default=10)
     sigma = verbs.add_parser("sigma", help="report on importing a folder of rules")
     sigma.add_argument("folder")
     watch = verbs.add_parser("watch", help="follow log files")
@@ -134,11 +137,15 @@ def main(argv: list[str] | None = None) -> int:
             held.select("uid", "status", "assignee", "incident", "severity", "rule_title", "group_value", "timestamp").orderBy(F.desc("timestamp"), "uid").show(200, truncate=False)
         else:
             append_actions(spark, args.log, args.act, args.uid, args.value or "", args.actor)
+    elif args.verb == "risk":
+        risk = risk_of(config, load_rules()[0]) or Risk()
+        stored_leaderboard(read_alerts(spark, args.store), risk, args.limit).show(args.limit, truncate=False)
     elif args.verb == "sigma":
         native, _ = load_rules()
         found = import_folder(args.folder)
         for x in found:
-            print(f"{'imported' if x.rule else 'skipped '}  {x.path}  {'; '.join(x.reasons)}")
+            notes = [*x.reasons, *([f"no such field: {', '.join(x.unmapped)}"] if x.unmapped else [])]
+            print(f"{'imported' if x.rule else 'skipped '}  {x.path}  {'; '.join(notes)}")
         print(f"{len(merge_native_first(native, [x.rule for x in found if x.rule])) - len(native)} new rules")
     else:
         from .sources.tail import TailSource

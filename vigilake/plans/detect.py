@@ -14,7 +14,7 @@ from ..operators.blocks import evidence_in_blocks, ordered_chain_in_blocks, unor
 from ..operators.correlation import impossible_travel, ordered_chain, unordered_chain
 from ..operators.enrichment import enrich_alert
 from ..operators.risk import entity_scores, notables, severity_score
-from ..operators.windows import dedup, threshold_evidence
+from ..operators.windows import dedup, max_window_sum, threshold_evidence
 from ..schema import field, field_type
 from ..stages import Stages
 from .rules import Correlation, Rule, suppressed_ids
@@ -225,6 +225,19 @@ def risk_alerts(alerts: DataFrame, risk: Risk, hold: Callable[[DataFrame, str],
     )
 
 
+def stored_leaderboard(alerts: DataFrame, risk: Risk, limit: int = 10) -> DataFrame:
+    """The entities of most risk over stored alerts: field, entity, score (of the best window), signals
+    (all that name the entity), over_threshold; ties by field and entity. Notables add nothing. One
+    pass over each entity's scores."""
+    rows = alerts if "scope" in alerts.columns else alerts.withColumn("scope", F.lit(None).cast("string"))
+    rows = rows.withColumn("_number", F.monotonically_increasing_id())
+    scores = risk_scores(rows, risk).select("field", "entity", "timestamp", F.coalesce("seq", "_number").alias("seq"), "share")
+    best = max_window_sum(scores, ["field", "entity"], "timestamp", "seq", "share", micros(risk.window)).select("field", "entity", F.col("max_sum").alias("score"))
+    signals = scores.groupBy("field", "entity").agg(F.count("*").alias("signals"))
+    told = best.join(signals, ["field", "entity"]).withColumn("over_threshold", F.col("score") >= risk.threshold)
+    return told.orderBy(F.desc("score"), "field", "entity").limit(limit)
+
+
 def _text_at(path: str) -> Callable[[Column], Column]:
     def text(event: Column) -> Column:
         value = _get(event, path).cast("string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
+from ..schema import field_type
 from .rules import Rule, read_document, rule_from_document
 
 #: Field names of imported rules and the normalised fields they mean.
@@ -35,6 +36,8 @@ class ImportedRule:
     title: str
     rule: Rule | None
     reasons: tuple[str, ...] = ()
+    #: Fields that no normalised field stands for: the rule imports, but nothing will match on them.
+    unmapped: tuple[str, ...] = ()
 
 
 def translate_selection(selection: object) -> object:
@@ -77,6 +80,24 @@ def reasons_against(detection: object) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def unmapped_fields(detection: dict) -> list[str]:
+    """Names in the selections that are neither translated nor fields of the normalised event."""
+    found = []
+
+    def look(selection: object) -> None:
+        for x in selection if isinstance(selection, list) else ():
+            look(x)
+        for key in selection if isinstance(selection, dict) else ():
+            name = key.partition("|")[0]
+            if name not in FIELD_NAMES and "." not in name and field_type(name) is None:
+                found.append(name)
+
+    for name, selection in detection.items():
+        if name not in ("condition", "timeframe"):
+            look(selection)
+    return sorted(set(found))
+
+
 def import_document(doc: object, path: str = "") -> ImportedRule:
     if not isinstance(doc, dict):
         return ImportedRule(path, "", None, ("not a rule document",))
@@ -91,7 +112,7 @@ def import_document(doc: object, path: str = "") -> ImportedRule:
         rule = rule_from_document({**doc, "logsource": logsource, "detection": detection, "risk_score": None})
     except ValueError as e:
         return ImportedRule(path, title, None, (str(e),))
-    return ImportedRule(path, title, rule)
+    return ImportedRule(path, title, rule, unmapped=tuple(unmapped_fields(doc["detection"])))
 
 
 def import_folder(folder: Path | str) -> list[ImportedRule]:

@@ -12,7 +12,8 @@ from ..operators.blocks import ordered_chain_in_blocks, threshold_in_blocks, uno
 from ..operators.correlation import impossible_travel, ordered_chain, unordered_chain
 from ..operators.windows import dedup, max_window_sum, threshold, threshold_evidence
 from ..plans.condition import compile_selection, parse_condition
-from ..plans.detect import RISK_RULE, Risk, detect, risk_alerts, rule_alerts
+from ..plans.detect import RISK_RULE, Risk, detect, risk_alerts, rule_alerts, stored_leaderboard
+from ..plans.literals import indexed_hits
 from ..plans.rules import Correlation, Rule, logsource_predicate, suppressed_ids
 from ..schema import ecs_json
 from ..session import shared_dir
@@ -297,6 +298,20 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 reg.add("read_alert_store", _stored, f"WITH {EV} SELECT 'r-' || action AS rule_id, severity, ts, 'simulation' AS mode, seq, usr FROM ev WHERE action IN ('error', 'purchase')")
+
+
+def _stored_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboard of a store written with evidence and read back."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    append_alerts(rule_alerts(normalized_events(spark, sf_dir), _RULES[:2]).drop("scope"), path)
+    return stored_leaderboard(read_alerts(spark, path), Risk(threshold=300))
+
+
+reg.add("risk_leaderboard_stored", _stored_risk, f"""
+    WITH {_SCORED}, x AS (SELECT 'source.ip' AS field, ip AS entity, ts, seq, score FROM sc WHERE action IN ('error', 'purchase') UNION ALL SELECT 'user.name', usr, ts, seq, score FROM sc WHERE action IN ('error', 'purchase')),
+    cu AS (SELECT *, sum(score) OVER (PARTITION BY field, entity ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS cum FROM x),
+    wi AS (SELECT *, cum - min(cum - score) OVER (PARTITION BY field, entity ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS s FROM cu)
+    SELECT field, entity, CAST(max(s) AS BIGINT) AS score, count(*) AS signals, max(s) >= 300 AS over_threshold FROM wi GROUP BY field, entity ORDER BY score DESC, field, entity LIMIT 10""")
 reg.add("risk_alerts", lambda s, d: risk_alerts(rule_alerts(normalized_events(s, d), _RULES[:2]), Risk(threshold=300)).select(
             F.col("risk.object").alias("field"), F.col("group_value").alias("entity"), F.col("risk.score").alias("score"), "severity", "match_count", F.size("events").cast("long").alias("n_events"), F.aggregate("risk.contributors", F.lit(0).cast("long"), lambda t, c: t + c["score"]).alias("parts")),
         f"""WITH {_SCORED}, x AS (SELECT 'source.ip' AS field, ip AS entity, ts, seq, score FROM sc WHERE action IN ('error', 'purchase') UNION ALL SELECT 'user.name', usr, ts, seq, score FROM sc WHERE action IN ('error', 'purchase')),
@@ -306,6 +321,17 @@ reg.add("risk_alerts", lambda s, d: risk_alerts(rule_alerts(normalized_events(s,
     SELECT field, entity, CAST(s AS BIGINT) AS score, CASE WHEN s >= 600 THEN 'critical' ELSE 'high' END AS severity, n AS match_count, n AS n_events, CAST(s AS BIGINT) AS parts FROM best WHERE s >= 300""")
 
 
+def _many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thousand rules over page addresses, by the index over their literals."""
+    rules = [Rule(id=f"m-{k}", title="m", selections={"s": {"url.original|contains": [f"/{k}", f"id={k}&", f"P{k}."] if k % 2 else f"{k}{k % 7}"}}, condition="s") for k in range(2000)]
+    return indexed_hits(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules, "page_id", _resolve).withColumnRenamed("seq", "page_id")
+
+
+reg.add("rules_literal_index", _many_rules, """
+    WITH lits AS (SELECT k, unnest(CASE WHEN k % 2 = 1 THEN ['/' || k, 'id=' || k || '&', 'p' || k || '.'] ELSE [k || '' || (k % 7)] END) AS lit FROM (SELECT unnest(range(2000)) AS k))
+    SELECT DISTINCT page_id, 'm-' || k AS rule_id FROM pages JOIN lits ON contains(lower(url), lit)""")
+
+
 def _detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, a chain that silences one of them, notables of risk, bursts and whole evidence."""
     picks = lambda name, action, level, condition="s", **kw: Rule(id=name, title=name, selections={"s": {"event.action": action}}, condition=condition, level=level, **kw)
