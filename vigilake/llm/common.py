@@ -2,70 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that every executor sees, from spark.checkpoint.dir.
-
-    Where the setting is absent a temporary folder serves, in local mode only: there the driver's
-    disk is every task's disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/vigilake-checkpoints"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-class Stages:
-    """Tables written under the shared folder, so that lost executors cost no recomputation.
-
-    ``save`` writes a DataFrame as Parquet and reads it again, which also cuts its lineage;
-    ``drop`` deletes tables that later ones have replaced.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def path(self, name: str) -> str:
-        self.count += 1
-        return f"{self.base}/{self.count:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        with freed_shuffles(self.spark):
-            df.write.parquet(path)
-        saved = self.spark.read.schema(df.schema).parquet(path)
-        saved._vigilake_path = path
-        return saved
-
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._vigilake_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it a query's shuffle files go when the query ends: its result is a table by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+from ..stages import Stages as Stages  # noqa: PLC0414  the operators' own name for it
 
 
 def text_of(column: str | Column) -> Column:

@@ -66,8 +66,8 @@ def warc_record(page_id, url: str, payload: bytes, refers_to=None, revisit: bool
 
 
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and block of a gzip member that holds one WARC record."""
-    head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
+    """Headers (lower-case names) and block of one WARC record, plain or a gzip member of its own."""
+    head, _, rest = (zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member).partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
@@ -190,33 +190,100 @@ def write_packages(
     return rows.mapInArrow(run, "path string, n_records long")
 
 
+INDEX = re.compile(r"indexes/.*\.cdxj?(\.gz)?")
+ARCHIVE = re.compile(r"archive/.*\.warc(\.gz)?")
+STEP = 1 << 20
+
+
+def index_lines(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of each record that an index names: lines with a JSON object, or
+    columns under a header of their letters (S size, V offset, g file)."""
+    letters: list[str] = []
+    for line in io.BytesIO(data):
+        if line.startswith((b" CDX ", b"CDX ")):
+            letters = line.decode().split()[1:]
+        elif line[:1] != b"!" and b"{" in line:
+            place = json.loads(line[line.index(b"{") :])
+            yield place["filename"], int(place["offset"]), int(place["length"])
+        elif letters and len(cells := line.decode("utf-8", "replace").split()) == len(letters):
+            size, offset, name = (cells[letters.index(x)] for x in "SVg")
+            yield name, int(offset), int(size)
+
+
+def gzip_members(read_at: Callable[[int, int], bytes], at: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of the gzip members that stand one behind another; bounded memory, one pass."""
+    start, here, end, left = at, at, at + size, b""
+    while start < end:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            data = left or read_at(here, min(STEP, end - here))
+            here += 0 if left else len(data)
+            left = b""
+            if not data:
+                return  # cut short
+            member.decompress(data, STEP)
+            while member.unconsumed_tail and not member.eof:
+                member.decompress(member.unconsumed_tail, STEP)
+        left = member.unused_data
+        yield start, here - len(left) - start
+        start = here - len(left)
+
+
+def plain_records(read_at: Callable[[int, int], bytes], at: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of the records of an archive that isn't compressed; only headers are read."""
+    start, end = at, at + size
+    while start < end:
+        head, n = b"", 8192
+        while b"\r\n\r\n" not in head and len(head) < end - start:
+            head = read_at(start, min(n, end - start))
+            n *= 4
+        top = head.partition(b"\r\n\r\n")[0]
+        found = re.search(rb"(?im)^content-length:\s*(\d+)", top)
+        if not found:
+            return
+        length = len(top) + 4 + int(found[1])
+        yield start, length
+        start += length + 4
+
+
+def record_places(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of every record of a package: those that its indexes name, by the file's name
+    wherever the index was made, and those of archive members that no index names, found by reading
+    these through. Secondary indexes (of blocks of an index) name no records."""
+    members = {name: (method, at, n) for name, method, at, n in zip_members(read_at, size)}
+    archives = {name.rpartition("/")[2]: name for name in members if ARCHIVE.fullmatch(name)}
+    named = set()
+    for name, (method, at, n) in members.items():
+        if not INDEX.fullmatch(name):
+            continue
+        data = read_at(at, n)
+        data = zlib.decompress(data, -15) if method else data
+        for file, offset, length in index_lines(gzip.decompress(data) if name.endswith(".gz") else data):
+            archive = archives.get(file.rpartition("/")[2])
+            if archive is None:
+                raise ValueError(f"the index names {file!r}, which the package lacks")
+            named.add(archive)
+            yield stored_at(members[archive]) + offset, length
+    for name in sorted(set(archives.values()) - named):
+        at, n = stored_at(members[name]), members[name][2]
+        yield from (gzip_members if name.endswith(".gz") else plain_records)(read_at, at, n)
+
+
+def stored_at(member: tuple[int, int, int]) -> int:
+    if member[0] != zipfile.ZIP_STORED:
+        raise ValueError("range reads need stored members")
+    return member[1]
+
+
 def read_index(packages: DataFrame) -> DataFrame:
-    """(path, start, length) of every record that the packages' own indexes (plain or gzip) name."""
+    """(path, start, length) of every record of the packages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                read_at, size = open_range(path)
-                members = {name: (method, at, n) for name, method, at, n in zip_members(read_at, size)}
-                for name, (method, at, n) in members.items():
-                    if not name.startswith("indexes/"):
-                        continue
-                    data = read_at(at, n)
-                    found = {"start": [], "length": []}
-                    data = zlib.decompress(data, -15) if method else data
-                    for line in io.BytesIO(gzip.decompress(data) if name.endswith(".gz") else data):
-                        if line[:1] == b"!" or b"{" not in line:  # a header of the index, or nothing
-                            continue
-                        place = json.loads(line[line.index(b"{") :])
-                        inner, base, _ = members["archive/" + place["filename"]]
-                        if inner != zipfile.ZIP_STORED:
-                            raise ValueError("range reads need stored members")
-                        found["start"].append(base + int(place["offset"]))
-                        found["length"].append(int(place["length"]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * len(found["start"]), pa.string()), pa.array(found["start"], pa.int64()), pa.array(found["length"], pa.int64())],
-                        ["path", "start", "length"],
-                    )
+                found = list(record_places(*open_range(path)))
+                columns = [pa.array([path] * len(found), pa.string()), *(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "start", "length"])
 
     return packages.select("path").mapInArrow(run, "path string, start long, length long")
 
