@@ -13,8 +13,13 @@ reg = Registry()
 YEAR = 2024
 
 
+def events_to_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events dealt over all cores, as the blocks of a log file would be: the table is one row group."""
+    return flat_events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+
+
 def auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = flat_events(spark, sf_dir)
+    e = events_to_render(spark, sf_dir)
     stamp = F.concat(F.date_format("ts", "MMM"), F.lit(" "), F.lpad(F.date_format("ts", "d"), 2, " "), F.lit(" "), F.date_format("ts", "HH:mm:ss"))
     port = (F.pmod("seq", F.lit(60000)) + 1024).cast("string")
     message = (
@@ -28,7 +33,7 @@ def auth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = flat_events(spark, sf_dir)
+    e = events_to_render(spark, sf_dir)
     stamp = F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0000"))
     request = F.concat(F.lit("GET /"), "action", F.lit("?id="), F.col("seq").cast("string"), F.lit(" HTTP/1.1"))
     status = F.when(F.col("action") == "error", "500").when(F.col("action") == "view", "-").otherwise("200")
@@ -36,7 +41,7 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = flat_events(spark, sf_dir)
+    e = events_to_render(spark, sf_dir)
     process = F.col("action").isin("click", "view")
     kind = F.when(process, "1").when(F.col("action") == "error", "3").when(F.col("action") == "signup", "3.0").otherwise("22")
     on = lambda c: F.when(process, c)
@@ -49,7 +54,7 @@ def endpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def firewall_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = flat_events(spark, sf_dir)
+    e = events_to_render(spark, sf_dir)
     stamp = F.concat(F.date_format("ts", "MMM"), F.lit(" "), F.lpad(F.date_format("ts", "d"), 2, " "), F.lit(" "), F.date_format("ts", "HH:mm:ss"))
     verdict = F.when(F.col("action") == "error", "BLOCK").when(F.col("action") == "click", "ALLOW").otherwise("AUDIT")
     source = F.when(F.col("action") == "view", "").otherwise(F.concat(F.lit("SRC=10.9.9.9 SRC="), "ip", F.lit(" ")))
