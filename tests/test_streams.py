@@ -162,3 +162,14 @@ def test_tail_plans_a_batch_alike_after_a_rotation(tmp_path):
     with open(log, "w") as f:
         f.write("x\n")
     assert texts(later, reader.latestOffset()) == ["x"]  # truncated
+
+
+def test_pushes_are_bounded_by_time(spark, capsys):
+    import time
+
+    from vigilake.sources.sinks import Push
+
+    rows = spark.createDataFrame([(f"r{k}", "t", "high", None, 1) for k in range(5)], "rule_id string, rule_title string, severity string, group_value string, match_count long")
+    slow = Push("http://x.example/t", least="low", post=lambda *a: time.sleep(0.3), most_seconds=0.5)
+    sent = slow.emit(rows)
+    assert 1 <= sent < 5 and f"{5 - sent} left" in capsys.readouterr().err

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+import time
 import urllib.parse
 import urllib.request
 import uuid
@@ -93,6 +94,7 @@ class Push:
     style: str = "topic"
     least: str = "high"
     post: Callable[[str, bytes, dict[str, str]], None] = post_http
+    most_seconds: float = 30.0
 
     def message(self, alert: dict) -> tuple[bytes, dict[str, str]]:
         severity = alert.get("severity") or "medium"
@@ -102,10 +104,17 @@ class Push:
         return text.encode(), {"Title": header_text(str(alert.get("rule_title"))), "Priority": PRIORITY.get(severity, "3"), "Tags": ICON.get(severity, "bell")}
 
     def emit(self, alerts: DataFrame) -> int:
-        """Sends every alert above the gate, a partition at a time through the driver; failures are
-        noted and passed over. Returns how many were sent."""
-        sent = 0
-        for row in severity_gate(alerts, self.least).select("rule_id", "rule_title", "severity", "group_value", "match_count").toLocalIterator():
+        """Sends alerts above the gate, a partition at a time through the driver, for ``most_seconds`` at
+        most, so that a flood or a dead receiver doesn't hold up detection; failures are noted and
+        passed over, and so is how many were left (they are in the store). Returns how many were sent."""
+        rows = severity_gate(alerts, self.least).select("rule_id", "rule_title", "severity", "group_value", "match_count")
+        sent = tried = 0
+        until = time.monotonic() + self.most_seconds
+        for row in rows.toLocalIterator():
+            if time.monotonic() > until:
+                print(f"notifications stopped after {self.most_seconds:g} s: {rows.count() - tried} left", file=sys.stderr)
+                break
+            tried += 1
             try:
                 self.post(self.url, *self.message(row.asDict()))
                 sent += 1
