@@ -183,7 +183,9 @@ def redact_secrets(
 ) -> DataFrame:
     """The rows of ``docs``, secrets in their text replaced by ``mask``. Texts without a candidate
     pass through untouched; of the others only the pieces between and the votes are shuffled, by
-    row. Null text comes back null; no row is dropped."""
+    row. Null text comes back null, an empty one empty; no row is dropped, and repeated rows are masked
+    alike, each by its own number. A long text travels as its pieces and candidates, in one row again
+    at the end. Other columns come back whatever their names; an empty table gives no rows."""
     text = text_of(text_col)
     clean = docs.where(~text.rlike(PATTERN))
     # the row travels as one struct, so that no name inside meets a column of the user's
