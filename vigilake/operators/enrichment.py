@@ -97,10 +97,8 @@ def enrich_flat(events: DataFrame, ip: str, user: str, blocklist: DataFrame | No
 
 def enrich_events(events: DataFrame, **tables: DataFrame | None) -> DataFrame:
     """Normalised events with threat, source.geo, source.as, source.asset and user.role filled in.
-    Only distinct addresses and users are looked up."""
-    keys = events.select(F.col("source.ip").alias("_ip"), F.col("user.name").alias("_user")).distinct()
-    facts = enrich_flat(keys, "_ip", "_user", **tables)
-    joined = events.join(facts, F.col("source.ip").eqNullSafe(F.col("_ip")) & F.col("user.name").eqNullSafe(F.col("_user")), "left")
+    Distinct addresses are looked up and joined back by address; roles are joined by user."""
+    joined = enrich_flat(events.withColumns({"_ip": F.col("source.ip"), "_user": F.col("user.name")}), "_ip", "_user", **tables)
     geo = F.when(F.col("country_iso").isNotNull(), F.struct(F.col("country_iso").alias("country_iso_code"), F.col("country_name")))
     system = F.when(F.col("asn").isNotNull(), F.struct(F.col("asn").alias("number"), F.col("as_org").alias("organization")))
     asset = F.when(F.col("trusted").isNotNull(), F.struct(F.col("asset_name").alias("name"), F.col("trusted")))

@@ -6,10 +6,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .session import shared_dir
 
+ROWS_A_TASK = 20_000  # of tables of so few rows that tasks and files would outweigh them
+
 
 class Stages:
     """``save`` writes a DataFrame as Parquet and reads it again, which also cuts its lineage;
@@ -24,12 +27,17 @@ class Stages:
         self.count += 1
         return f"{self.base}/{self.count:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
+    def save(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """``most``, where it is known, bounds the rows: a small table is written by few tasks, into few
+        files. ``rows_of`` tells how many there were, which the write itself has counted."""
+        path, counted = self.path(name), Observation()
+        few = -(-most // ROWS_A_TASK) if most is not None else None
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(1, few)) if few is not None and few < spread else df
         with freed_shuffles(self.spark):
-            df.write.parquet(path)
+            df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
-        saved._vigilake_path = path
+        saved._vigilake_path, saved._vigilake_rows = path, counted.get["n"]
         return saved
 
     def drop(self, *tables: DataFrame) -> None:
@@ -37,6 +45,11 @@ class Stages:
             delete(self.spark, df._vigilake_path)
 
 
+def rows_of(saved: DataFrame) -> int:
+    """How many rows ``save`` wrote."""
+    return saved._vigilake_rows
+
+
 def _at(spark: SparkSession, path: str) -> tuple:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
