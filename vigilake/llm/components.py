@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stages import rows_of
 from .common import Stages
 
 
@@ -26,10 +27,10 @@ def connected_components(edges: DataFrame, stages: Stages, most_rounds: int = 60
         both = at.union(at.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stages.save(large, "large_star")
+        large = stages.save(large, "large_star", 2 * rows_of(at))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = stages.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small_star")
+        following = stages.save(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small_star", 2 * rows_of(large))
         stages.drop(at)
         stages.drop(large)
         at = following

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..stages import rows_of
 from .common import Stages
 from .components import connected_components
 
@@ -71,8 +72,8 @@ class Linker:
         met = self.at(self.at(pairs, self.facts, "key", "x_"), self.facts, "c", "y_")
         reach = F.when(F.col("wide"), F.lit(self.shell)).otherwise(F.lit(1)) * self.most(F.col("x_size"))
         near = met.where(self.bound("x_", "y_") <= reach).select("c", "key", F.col("y_size").alias("c_size"), F.col("x_size").alias("size"))
-        near = self.stages.save(near, f"near_{name}")
-        keys = self.stages.save(near.select("key").union(near.select("c")).distinct(), f"keys_{name}")
+        near = self.stages.save(near, f"near_{name}", rows_of(pairs))
+        keys = self.stages.save(near.select("key").union(near.select("c")).distinct(), f"keys_{name}", 2 * rows_of(near))
         sets = self.stages.save(self.sets(keys), f"sets_{name}")
         both = self.at(self.at(near, sets, "key", "x_"), sets, "c", "y_")
         both = both.withColumns({f"{p}elements": self.elements(F.col(f"{p}held")) for p in ("x_", "y_")})
@@ -88,28 +89,30 @@ class Linker:
             return members.select(F.col("key").alias("a"), F.col("key").alias("b"))
         links: DataFrame | None = None
         roots: DataFrame | None = None
+        n_members = rows_of(members)
         waiting = []
         for r in range(self.rounds):
             center = F.min(F.struct("rank", F.xxhash64("key").alias("tie"), "key")).alias("c")
             centers = members.groupBy("grp").agg(center, F.count("*").alias("n")).select("grp", F.col("c.key").alias("c"), "n")
-            met = self.stages.save(members.join(centers, "grp").where("key <> c"), f"met_{r}")
-            pairs = self.stages.save(met.groupBy("c", "key").agg(F.max(F.col("n") > CROWD).alias("wide")), f"pairs_{r}")
+            met = self.stages.save(members.join(centers, "grp").where("key <> c"), f"met_{r}", n_members)
+            pairs = self.stages.save(met.groupBy("c", "key").agg(F.max(F.col("n") > CROWD).alias("wide")), f"pairs_{r}", rows_of(met))
             deltas = self.differences(pairs, str(r))
             linked = self.linked(deltas)
             links = linked if links is None else links.union(linked)
             # stars of the round before stand for its links
             stars = linked if roots is None else linked.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = connected_components(stars, self.stages)
-            left = self.stages.save(self._mixed(met, roots), f"left_{r}")
+            left = self.stages.save(self._mixed(met, roots), f"left_{r}", rows_of(met))
             waiting.append(left.where(F.col("n") <= CROWD).select("grp", "key", "size", F.lit(0).alias("e"), F.lit(1).cast("long").alias("q")))
             self.stages.drop(met, pairs)
             crowded = left.where(F.col("n") > CROWD)
             if crowded.isEmpty():
                 break
             again = self.regrouped(crowded, deltas, r)
-            again = self.stages.save(self._mixed(self.stages.save(again, f"regrouped_{r}"), roots), f"members_{r}")
+            again = self.stages.save(again, f"regrouped_{r}")
+            again = self.stages.save(self._mixed(again, roots), f"members_{r}", rows_of(again))
             waiting.append(again.where(F.col("n") <= CROWD).select("grp", "key", "size", "e", "q"))
-            members = again.where(F.col("n") > CROWD).select("grp", "key", "size", "rank", "e", "q")
+            members, n_members = again.where(F.col("n") > CROWD).select("grp", "key", "size", "rank", "e", "q"), rows_of(again)
             if members.isEmpty():
                 break
         else:
