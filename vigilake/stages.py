@@ -6,8 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .session import shared_dir
 
@@ -29,15 +28,15 @@ class Stages:
 
     def save(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
         """``most``, where it is known, bounds the rows: a small table is written by few tasks, into few
-        files. ``rows_of`` tells how many there were, which the write itself has counted."""
-        path, counted = self.path(name), Observation()
+        files."""
+        path = self.path(name)
         few = -(-most // ROWS_A_TASK) if most is not None else None
         spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.coalesce(max(1, few)) if few is not None and few < spread else df
         with freed_shuffles(self.spark):
-            df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+            df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
-        saved._vigilake_path, saved._vigilake_rows = path, counted.get["n"]
+        saved._vigilake_path, saved._vigilake_rows = path, None
         return saved
 
     def drop(self, *tables: DataFrame) -> None:
@@ -46,7 +45,10 @@ class Stages:
 
 
 def rows_of(saved: DataFrame) -> int:
-    """How many rows ``save`` wrote."""
+    """How many rows ``save`` wrote, by the files' own counts. (An observation of the write would tell it
+    too, but leaves the session an object that models trained in it can't be shipped with.)"""
+    if saved._vigilake_rows is None:
+        saved._vigilake_rows = saved.count()
     return saved._vigilake_rows
 
 
