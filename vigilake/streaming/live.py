@@ -120,7 +120,8 @@ class LiveMonitor:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _arrived(self, rows: DataFrame, path: str, batch: int) -> tuple[DataFrame, dict]:
-        """The batch's events, written, with the counts that this one job has observed."""
+        """The batch's events, written, with the counts that this one job has observed (in the session of
+        the batch, a query's own: an observed session can't ship trained models)."""
         lines, seen = Observation(), Observation()
         count = F.count(F.lit(1)).alias("n")
         events = self.parser(rows.observe(lines, count)) if self.parser else rows
@@ -152,8 +153,7 @@ class LiveMonitor:
         if told is not None:
             quiet = F.expr(f"coalesce(timestamp, current_timestamp()) <= _last + INTERVAL {parse_duration(self.dedup_window)} SECONDS")
             found = found.join(told.withColumnRenamed("at", "_last"), "_key", "left").where(~F.coalesce(quiet, F.lit(False))).drop("_last")
-        alerts = Observation()
-        fresh = self._save(found.observe(alerts, F.count(F.lit(1)).alias("n")), f"{path}/told_now")
+        fresh = self._save(found, f"{path}/told_now")
         out = self._save(with_evidence(fresh, held).drop("_key"), f"{path}/fresh")
         now = fresh.select("_key", at)
         since = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {self.horizon + parse_duration(self.dedup_window)} SECONDS")
@@ -163,7 +163,7 @@ class LiveMonitor:
             append_alerts(out.drop("scope"), self.store, batch=f"live-{batch:09d}")
         for sink in self.sinks:
             sink(out)
-        sums = {k: self.counts[k] + n for k, n in (("lines", counted["lines"]), ("events", counted["events"]), ("alerts", alerts.get["n"]))}
+        sums = {k: self.counts[k] + n for k, n in (("lines", counted["lines"]), ("events", counted["events"]), ("alerts", fresh.count()))}
         write_text(self.spark, f"{path}/DONE", json.dumps(sums | {"newest": newest}))
         self.counts, self.done[batch] = sums | {"newest": newest}, path
         for old in sorted(self.done)[:-2]:
