@@ -218,6 +218,16 @@ def test_suffix_dedup(spark, odd, none, crowd, monkeypatch):
         assert settle([(1, 5, 0, 1, b"q" * 100), (1, 4, 7, 1, b"q" * 100)], 100) == [(5, 0, 100)]
 
 
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    """Rows of one id are told apart: what is removed of one is not cut out of another."""
+    random.seed(3)
+    a, b, c = ("".join(random.choices("abcdefgh ", k=150)) for _ in range(3))
+    rows = [(None, a + b), (None, c), (-(1 << 63), a), (4, "x" * 40 + b), (4, c), (4, c), (7, c[:120])]
+    got = sorted(((r["doc_id"], *tuple(r)[1:4]) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(None, 300, 0, 0), (None, 150, 0, 0), (-(1 << 63), 150, 150, 1), (4, 190, 150, 1), (4, 150, 150, 1), (4, 150, 150, 1), (7, 120, 120, 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_line_dedup(spark, odd, none):
     line = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma"
     docs = [(2, f"{line}\n\nunique line of the second document here"), (1, f"first\n{line.replace('mu', 'mue')}"), (3, line), (4, None), (5, "\n\n")]

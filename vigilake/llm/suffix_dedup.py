@@ -107,48 +107,50 @@ def sampled_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
 
 
 def runs_of(docs: DataFrame, length: int) -> DataFrame:
-    """(g, nb, id, start, n, again): the runs of all texts. Of runs with equal bytes within one batch
+    """(g, nb, id, twin, start, n, again): the runs of all texts. Of runs with equal bytes within one batch
     all but the first are marked ``again`` here, which thins crowded groups before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, ends in slices(batch, 1):
                 g, nb, text, start, n = sampled_runs(data, ends, length)
-                ids = rows.column(0).take(pa.array(text, pa.int64()))
+                ids, twins = (rows.column(k).take(pa.array(text, pa.int64())) for k in (0, 2))
                 key = np.array(ids.fill_null(-(1 << 63)), "i8") if len(ids) else np.zeros(0, "i8")
-                order = np.lexsort((start, key, nb, g))
+                known = (np.array(ids.is_valid()),) if ids.null_count else ()  # null stands before all others
+                order = np.lexsort((start, key, *known, nb, g))
                 again = np.zeros(len(g), bool)
                 same = (g[order][1:] == g[order][:-1]) & (nb[order][1:] == nb[order][:-1])
                 again[order[1:]] = same
                 # rows of one id and start are one string, not a repeat
-                twin = same & (key[order][1:] == key[order][:-1]) & (start[order][1:] == start[order][:-1])
-                again[order[1:][twin]] = False
+                one = same & (key[order][1:] == key[order][:-1]) & (start[order][1:] == start[order][:-1])
+                again[order[1:][one]] = False
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(nb), ids, pa.array(start.astype("i8")), pa.array(n.astype("i8")), pa.array(again)],
-                    ["g", "nb", "id", "start", "n", "again"],
+                    [pa.array(g), pa.array(nb), ids, twins, pa.array(start.astype("i8")), pa.array(n.astype("i8")), pa.array(again)],
+                    ["g", "nb", "id", "twin", "start", "n", "again"],
                 )
 
-    return docs.mapInArrow(run, "g long, nb long, id long, start long, n long, again boolean")
+    return docs.mapInArrow(run, "g long, nb long, id long, twin long, start long, n long, again boolean")
 
 
 def run_texts(asked: DataFrame, length: int) -> DataFrame:
-    """(g, id, start, n, bytes) of the runs asked for: rows of id, text and runs (g, start, n)."""
+    """(g, id, twin, start, n, bytes, crowded) of the runs asked for: rows of id, text, twin and runs (g, start, n, crowded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, wanted in zip(*batch.columns, strict=True):
-                data, doc = text.as_py().encode(), doc.as_py()
-                found = [(x["g"], doc, x["start"], x["n"], data[x["start"] : x["start"] + x["n"] + length - 1]) for x in wanted.as_py()]
-                found = [x for x in found if len(x[4]) == x[3] + length - 1]
-                columns = list(zip(*found, strict=True)) if found else [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["g", "id", "start", "n", "bytes"])
+            for doc, text, twin, wanted in zip(*batch.columns, strict=True):
+                data, doc, twin = text.as_py().encode(), doc.as_py(), twin.as_py()
+                found = [(x["g"], doc, twin, x["start"], x["n"], data[x["start"] : x["start"] + x["n"] + length - 1], x["crowded"]) for x in wanted.as_py()]
+                columns = list(zip(*found, strict=True)) if found else [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                names = ["g", "id", "twin", "start", "n", "bytes", "crowded"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
-    return asked.mapInArrow(run, "g long, id long, start long, n long, bytes binary")
+    return asked.mapInArrow(run, "g long, id long, twin long, start long, n long, bytes binary, crowded boolean")
 
 
-def settle(rows: list[tuple[int, int | None, int, int, bytes]], length: int) -> list[tuple[int | None, int, int]]:
-    """(id, from, to) of the bytes covered by strings that also start earlier among these runs.
+def settle(rows: list[tuple[int, int | None, int, int, bytes]], length: int, twins: list[int] | None = None) -> list[tuple]:
+    """(id, from, to) of the bytes covered by strings that also start earlier among these runs; with
+    ``twins``, one of each run, (id, twin, from, to).
 
     The runs' bytes, one after another with a mark between, are suffix-sorted; strings equal in
     ``length`` bytes are then neighbours, and all but the earliest of them repeat it.
@@ -173,12 +175,13 @@ def settle(rows: list[tuple[int, int | None, int, int, bytes]], length: int) ->
     group = np.cumsum(~same) - 1
     row = np.searchsorted(heads, order, "right") - 1
     ids = np.array([-(1 << 63) if x[1] is None else x[1] for x in rows], "i8")[row]
+    known = np.array([x[1] is not None for x in rows])[row]  # null stands before all others
     starts = np.array([x[2] for x in rows], "i8")[row] + order - heads[row]
-    ranked = np.lexsort((starts, ids, group))
+    ranked = np.lexsort((starts, ids, known, group))
     first = np.ones(len(ranked), bool)
     first[1:] = group[ranked][1:] != group[ranked][:-1]
     lead = ranked[np.maximum.accumulate(np.where(first, np.arange(len(ranked)), 0))]
-    repeats = ranked[(ids[ranked] != ids[lead]) | (starts[ranked] != starts[lead])]
+    repeats = ranked[(ids[ranked] != ids[lead]) | (known[ranked] != known[lead]) | (starts[ranked] != starts[lead])]
     place = np.sort(order[repeats])
     if not len(place):
         return []
@@ -186,22 +189,20 @@ def settle(rows: list[tuple[int, int | None, int, int, bytes]], length: int) ->
     cut = np.concatenate(([True], (np.diff(place) > 1) | (np.diff(row) > 0)))
     a, b = place[cut], place[np.concatenate((cut[1:], [True]))]
     row = row[cut]
-    return [(rows[r][1], int(rows[r][2] + i - heads[r]), int(rows[r][2] + j - heads[r]) + length) for r, i, j in zip(row, a, b, strict=True)]
+    named = [(x[1],) if twins is None else (x[1], t) for x, t in zip(rows, twins or rows, strict=True)]
+    return [(*named[r], int(rows[r][2] + i - heads[r]), int(rows[r][2] + j - heads[r]) + length) for r, i, j in zip(row, a, b, strict=True)]
 
 
 def settled(texts: DataFrame, length: int, most_bytes: int = 1_000_000) -> DataFrame:
-    """(id, from, to) over runs partitioned and sorted by g, a bounded amount of text at a time.
-
-    Runs of one g may be split between amounts: those after a split are settled along with the
-    distinct ones of the same g before it only through ``crowded_strings``, which takes such g.
-    """
+    """(id, twin, from, to) over runs partitioned and sorted by g, some text at a time; runs of one g
+    stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("from", pa.int64()), ("to", pa.int64())])
+        schema = pa.schema([(n, pa.int64()) for n in ("id", "twin", "from", "to")])
 
         def made(rows: list) -> pa.RecordBatch:
-            found = settle(rows, length)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [()] * 3)], schema=schema)
+            found = settle([(g, doc, start, n, data) for g, doc, _, start, n, data in rows], length, [x[2] for x in rows])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [()] * 4)], schema=schema)
 
         held, size, g = [], 0, None
         for batch in batches:
@@ -211,29 +212,30 @@ def settled(texts: DataFrame, length: int, most_bytes: int = 1_000_000) -> DataF
                     held, size = [], 0
                 g = row[0]
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield made(held)
 
-    return texts.mapInArrow(run, "id long, from long, to long")
+    return texts.select("g", "id", "twin", "start", "n", "bytes").mapInArrow(run, "id long, twin long, from long, to long")
 
 
 def crowded_strings(texts: DataFrame, length: int) -> DataFrame:
-    """(id, from, to) for runs of very crowded grams: a row per string, grouped by hash with
+    """(id, twin, from, to) for runs of very crowded grams: a row per string, grouped by hash with
     map-side minima, so that no task holds a gram's whole group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, doc, start, n, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for g, doc, twin, start, n, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 raw = np.frombuffer(data, "u1")
                 at = np.arange(n)
                 h = stretch_hashes(prefix_sums(raw), at, at + length).view("i8")
-                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array(h), pa.array([doc] * n, pa.int64()), pa.array(start + at)], ["g", "h", "id", "at"])
+                same = [pa.array([x] * n, pa.int64()) for x in (g, doc, twin)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(h), pa.array(start + at)], ["g", "id", "twin", "h", "at"])
 
-    strings = texts.mapInArrow(run, "g long, h long, id long, at long")
+    strings = texts.select("g", "id", "twin", "start", "n", "bytes").mapInArrow(run, "g long, id long, twin long, h long, at long")
     first = strings.groupBy("g", "h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("count")).where("count > 1")
     repeats = strings.join(first, ["g", "h"]).where(~F.struct("id", "at").eqNullSafe(F.col("first")))
-    return repeats.select("id", F.col("at").alias("from"), (F.col("at") + length).alias("to"))
+    return repeats.select("id", "twin", F.col("at").alias("from"), (F.col("at") + length).alias("to"))
 
 
 def kept_texts(docs: DataFrame) -> DataFrame:
@@ -260,8 +262,17 @@ def kept_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def told_apart(rows: DataFrame, stages: Stages) -> DataFrame:
+    """``rows`` (id, text) with twin: a hash of the text where rows of one id have several texts, else 0."""
+    own = F.xxhash64("text")
+    several = rows.groupBy("id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
+    several = stages.save(several.select(F.col("id").alias("of"), F.lit(True).alias("several")), "several_texts")
+    joined = rows.join(several, F.col("id").eqNullSafe(F.col("of")), "left")
+    return joined.select("id", "text", F.when(F.col("several"), own).otherwise(F.lit(0).cast("long")).alias("twin"))
+
+
 def repeated_spans(rows: DataFrame, length: int, stages: Stages, crowd: int = 4000) -> DataFrame:
-    """(id, from, to) stretches that cover every string of ``length`` bytes that also starts earlier."""
+    """(id, twin, from, to) stretches that cover every string of ``length`` bytes that also starts earlier."""
     runs = runs_of(rows, length)
     # runs already settled spread over all tasks; the others meet their gram
     runs = runs.withColumn("salt", F.when(F.col("again"), F.xxhash64("id", "start"))).repartition("g", "salt")
@@ -270,19 +281,20 @@ def repeated_spans(rows: DataFrame, length: int, stages: Stages, crowd: int = 40
         "*",
         F.min(F.struct("id", "start")).over(equal).alias("first"),
         (F.min("nb").over(gram) != F.max("nb").over(gram)).alias("varied"),
-        F.count("*").over(gram).alias("crowd"),
+        (F.count("*").over(gram) > crowd).alias("crowded"),
     ).withColumn("again", F.col("again") | ~F.struct("id", "start").eqNullSafe(F.col("first")))
-    runs = runs.where("again OR varied").select("g", "id", "start", "n", "again", "crowd")
+    runs = runs.where("again OR varied").select("g", "id", "twin", "start", "n", "again", "crowded")
     runs = stages.save(runs, "runs")
 
-    open_ = runs.where("NOT again")
-    wanted = open_.groupBy("id").agg(F.collect_list(F.struct("g", "start", "n")).alias("wanted")).withColumnRenamed("id", "of")
-    texts = run_texts(rows.join(wanted, F.col("id").eqNullSafe(F.col("of"))).select("id", "text", "wanted"), length)
-    crowded = open_.where(F.col("crowd") > crowd).select("g").distinct()
-    texts = stages.save(texts, "run_texts")
-    few = texts.join(crowded, "g", "left_anti").repartition("g").sortWithinPartitions("g")
-    many = texts.join(crowded, "g", "left_semi")
-    whole = runs.where("again").select("id", F.col("start").alias("from"), (F.col("start") + F.col("n") + (length - 1)).alias("to"))
+    wanted = runs.where("NOT again").groupBy(F.col("id").alias("of"), F.col("twin").alias("of_twin"))
+    wanted = wanted.agg(F.collect_set(F.struct("g", "start", "n", "crowded")).alias("wanted"))
+    asked = rows.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.col("twin") == F.col("of_twin")))
+    texts = stages.save(run_texts(asked.select("id", "text", "twin", "wanted"), length), "run_texts")
+    # crowded grams are told by a column: behind a join by g, its plan (a broadcast, or the split of a skewed part)
+    # would take the place of this repartition, and runs of one gram would part
+    few = texts.where("NOT crowded").repartition("g").sortWithinPartitions("g")
+    many = texts.where("crowded")
+    whole = runs.where("again").select("id", "twin", F.col("start").alias("from"), (F.col("start") + F.col("n") + (length - 1)).alias("to"))
     return whole.union(settled(few, length)).union(crowded_strings(many, length))
 
 
@@ -299,11 +311,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     neighbours are compared byte by byte. A gram of very many runs is settled by hashes of its
     strings instead, grouped map-side.
 
-    Null text counts as empty; a null id sorts first. Rows repeating an id count as one document. An
-    empty table gives no rows. Other columns play no part.
+    Null text counts as empty; a null id sorts first. Rows repeating an id count as one document, whose
+    strings at one start are one place: what is removed of each row, its own text tells. An empty table
+    gives no rows. Other columns play no part.
     """
     stages = Stages(docs.sparkSession, "suffix_dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    spans = repeated_spans(rows, length, stages).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    joined = rows.join(spans.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "spans")
+    rows = told_apart(docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")), stages)
+    spans = repeated_spans(rows, length, stages).groupBy(F.col("id").alias("of"), F.col("twin").alias("of_twin"))
+    spans = spans.agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("of")) & (F.col("twin") == F.col("of_twin")), "left").select("id", "text", "spans")
     return kept_texts(joined).withColumnRenamed("id", id_col)
