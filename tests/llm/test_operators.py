@@ -173,6 +173,43 @@ def test_ngram_join_of_null_and_repeated_ids(spark):
     assert got == [("3", 3), ("7", 3), ("7", 7), ("None", 3), ("None", 7)]
 
 
+def test_operators_free_their_tables(spark):
+    """Only the table that the result reads is left of what an operator wrote."""
+    import os
+    from urllib.parse import urlparse
+
+    from vigilake.session import shared_dir
+
+    shared = urlparse(shared_dir(spark)).path
+    os.makedirs(shared, exist_ok=True)
+    before = set(os.listdir(shared))
+    docs = spark.createDataFrame(list(enumerate(_near_texts())), "doc_id long, text string")
+    results = [jaccard_components(docs), dedup_lines(docs)]
+    left = {d.split("-")[0]: os.listdir(f"{shared}/{d}") for d in set(os.listdir(shared)) - before}
+    assert {k: len(v) for k, v in left.items()} == {"jaccard": 1, "line_dedup": 1}
+    assert all(r.count() == docs.count() for r in results)
+
+
+def test_quality_stage_copies_no_texts(spark):
+    """The features alone are written; rows of equal text, whatever their ids, stay or go together."""
+    import os
+    from urllib.parse import urlparse
+
+    from corpus_pipeline import keep_good
+    from vigilake.session import shared_dir
+
+    shared = urlparse(shared_dir(spark)).path
+    os.makedirs(shared, exist_ok=True)
+    before = set(os.listdir(shared))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    twice = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    kept = keep_good(spark, twice, "/root/testdata/sf0.001")
+    assert {d.split("-")[0] for d in set(os.listdir(shared)) - before} == {"quality"}
+    assert kept.columns == docs.columns and 0 < kept.count() < twice.count()
+    counts = twice.groupBy("text").count().join(kept.groupBy("text").agg(F.count("*").alias("k")), "text")
+    assert counts.where("count <> k").isEmpty()
+
+
 def test_boundary_follows_cost():
     assert choose_boundary({15: 100}, 0.5, 90) <= choose_boundary({15: 100}, 50.0, 90)
 

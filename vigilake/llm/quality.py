@@ -157,6 +157,7 @@ def quality_scores(
     features = stages.save(featurized(docs, id_col, text_col), "features")
     known = (labels.where(~held_out(id_col)) if hold_out else labels).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"))
     ranking = fit_ranking(stages.save(features.join(known, "id"), "labelled"))
+    stages.keep_only(features)
     score = ranking.score(F.col("features"), accept)
     return features.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= accept).cast("int")
