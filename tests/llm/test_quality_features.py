@@ -5,9 +5,13 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vigilake.llm.quality import FEATURES, quality_scores, text_features
+from vigilake.llm.text_bytes import slices
+from vigilake.stages import BATCH_BYTES, BATCH_SETTING, Stages
 
 DATA = Path("/root/testdata/sf0.01")
 TEXTS = ["", " ", "Plain words stand here.", "BUY!! NOW!! NOW!! | | |", "a a a b a b", "Ünï çödé 日本語 \U0001f600 \n\nline", "x" * 300, "1 2 3 $$$ %%% ok### ok###", "One\nTwo\tThree\x0bFour\x0c five", "WORD W WW wW Ww", "it's e.g. (fine), \"quoted\" - yes?"]
@@ -49,3 +53,19 @@ def test_ranking_on_labels_it_has_not_seen(spark):
     right = np.mean([r["predicted"] == r["quality"] for r in rows])
     print(f"held out: {len(rows)} rows, AUC {auc:.3f}, accuracy {right:.3f}")
     assert len(bad) > 5 and auc >= 0.9 and right >= 0.9
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    before = spark.conf.get(BATCH_SETTING)
+    docs = spark.range(10_000, numPartitions=1).select(F.lit("four words a line " * 200).alias("text"))
+    got = Stages(spark, "batches").save(docs.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 10_000 and max(r["size"] for r in got) < 1.1 * BATCH_BYTES
+    assert spark.conf.get(BATCH_SETTING) == before
+    data, ends = np.full(2_500_000, 97, "u1"), np.arange(5_000, 2_500_001, 5_000)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(ends))), pa.array(["a" * 5_000] * len(ends))], ["id", "text"])
+    parts = list(slices(rows, 1))
+    assert max(len(d) for _, d, _ in parts) <= 1_000_000 and np.array_equal(np.concatenate([d for _, d, _ in parts]), data)
