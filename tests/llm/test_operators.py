@@ -166,6 +166,33 @@ def test_ngram_join_splits_crowds(spark, width, percent):
     assert len(set(want)) > 15 and max(want.count(x) for x in want) > 20
 
 
+def test_ngram_join_deals_out_few_changes(spark, monkeypatch):
+    """Members of a crowd are grouped by as many of their changes as a link may leave unshared, not by all."""
+    from vigilake.llm.linking import Stages
+
+    random.seed(4)
+    base, texts = [f"w{k}" for k in range(110)], []
+    for n in range(80):
+        own = list(base)
+        for at in random.sample(range(11), random.choice((1, 3, 5, 7))):
+            own[at * 10] = f"n{n}x{at}"
+        texts.append(" ".join(own))
+    dealt, most, save = [], [], Stages.save
+
+    def told(self, df, name, *more):
+        saved = save(self, df, name, *more)
+        if name.startswith("lists_"):
+            dealt.append(saved.selectExpr(f"sum(size({saved.columns[-1]})) as n").head()[0] or 0)
+        elif name.startswith("around_"):
+            most.append(saved.selectExpr("sum(floor(size * 10 / 90 + 1e-6) + 1) as n").head()[0] or 0)
+        return saved
+
+    monkeypatch.setattr(Stages, "save", told)
+    got = jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == _roots([_shingles(t, 3) for t in texts], 90)
+    assert dealt and len(dealt) == len(most) and all(n <= m for n, m in zip(dealt, most, strict=True))
+
+
 def test_ngram_join_of_null_and_repeated_ids(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     rows = spark.createDataFrame([(None, a), (None, b), (7, a), (7, b), (3, b)], "doc_id long, text string")
