@@ -149,6 +149,22 @@ def test_chains_against_search(spark):
         assert got == want
 
 
+def test_ordered_chains_sum_no_frame_anew(spark, monkeypatch):
+    """No window runs up to an unbounded following (quadratic in its rows); firings of one instant follow each other either way."""
+    from vigilake.operators.blocks import Stages, ordered_chain_in_blocks
+
+    plans, save = [], Stages.save
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().lower()
+    monkeypatch.setattr(Stages, "save", lambda self, df, *a: plans.append(plan(df)) or save(self, df, *a))
+    rows = _events(300, 11)
+    df = _frame(spark, rows).select("*", F.lit(0).alias("all"))
+    for rules in (["A", "B"], ["B", "A", "C"]):
+        one, blocks = ordered_chain(df, ["all"], rules, 6 * S), ordered_chain_in_blocks(df, rules, 6 * S)
+        plans.append(plan(one))
+        assert one.drop("all").collect() == blocks.collect()
+    assert sum("window" in p for p in plans) >= 5 and not any("unboundedfollowing" in p for p in plans)
+
+
 def test_addresses(spark):
     ips = spark.createDataFrame([(x,) for x in ("130.44.3.70", "130.44.9.9", "10.1.2.3", "2a00:1::5", "fe80::1", "nonsense", "300.1.1.1", None)], "ip string")
     geo = E.geo_frame(spark, [*PLACES, ("2a00:1::/33", "V6", "Six", 1, "x"), ("fe80::/10", "LL", "Link", 2, "y"), ("bad", "", "", 0, "")])
