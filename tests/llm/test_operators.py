@@ -349,6 +349,37 @@ def test_line_dedup_splits_crowds(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_crowd_of_one_center_is_one_group(spark, monkeypatch):
+    """Copies that meet in many bands are paired once, their sets compared once; few strays don't make the crowd deal out its changes."""
+    from vigilake.llm.linking import Stages
+
+    random.seed(6)
+    base = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)]
+    lines = []
+    for n in range(70):
+        own = list(base)
+        for at in random.sample(range(40), 7 if n % 20 == 0 else 1):
+            own[at] = "".join(random.choices("0123456789", k=7))
+        lines.append(" ".join(own))
+    met, plans, names, save = [], [], [], Stages.save
+
+    def told(self, df, name, *more):
+        saved = save(self, df, name, *more)
+        names.append(name)
+        if name.startswith("met_"):
+            met.append((saved.count(), saved.select("c", "key").distinct().count()))
+        elif name.startswith("differing_"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return saved
+
+    monkeypatch.setattr(Stages, "save", told)
+    removed = {r["doc_id"] for r in dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 1").collect()}
+    want = _roots([shingles(x) for x in lines], 80)
+    assert removed == {k for k, r in enumerate(want) if r != k} and len(set(want)) > 3
+    assert met and all(n == pairs for n, pairs in met) and not any(name.startswith("lists_") for name in names)
+    assert plans and all(plan.count("array_intersect") == 1 and "array_except" not in plan for plan in plans)
+
+
 def test_line_dedup_of_odd_ids_and_names(spark):
     line, own = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "something else altogether that nobody else has written"
     rows = [(1, line, "a"), (2, line.replace("eta", "etas", 1), "b"), (2, own, "c"), (None, line, "d"), (None, "no copy of this stands anywhere at all", "e"), (3, "\n".join(f"{own} {k} {k * 7919}" * 3 for k in range(3)), "f")]
